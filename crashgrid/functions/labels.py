@@ -45,9 +45,9 @@ def month_label(month: Column) -> Column:
     return F.date_format(F.to_date(F.concat(month, F.lit("-01"))), "MMM yy")
 
 
-def iso_text(stamp: Column) -> Column:
+def iso_text(stamp: Column, separator: str = "T") -> Column:
     """ISO 8601 text; microseconds appear only when there are any."""
-    seconds = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
+    seconds = F.date_format(stamp, f"yyyy-MM-dd'{separator}'HH:mm:ss")
     micros = F.date_format(stamp, ".SSSSSS")
     return F.concat(seconds, F.when(micros != ".000000", micros).otherwise(""))
 
@@ -58,25 +58,25 @@ def first_number(text: Column) -> Column:
     return F.when(digits != "", digits).try_cast("double")
 
 
-def _path(field: str | Column) -> Column:
-    name = F.lit(field) if isinstance(field, str) else field
-    return F.concat(F.lit("$['"), name, F.lit("']"))
+def properties_map(properties: Column) -> Column:
+    """Feature properties by name, every value as JSON text without quotes."""
+    return F.from_json(properties, "map<string,string>")
 
 
 def json_text(properties: Column, field: str | Column) -> Column:
     """Value of one property as text; null when absent or JSON null."""
-    return F.call_function("get_json_object", properties, _path(field))
+    return F.try_element_at(properties_map(properties), F.lit(field) if isinstance(field, str) else field)
 
 
 def is_quoted(properties: Column, field: str) -> Column:
-    path = "$['" + field + "']"
-    value = F.try_variant_get(F.try_parse_json(properties), path, "variant")
+    """Whether a property is text rather than a bare number or word."""
+    value = F.try_variant_get(F.try_parse_json(properties), f"$['{field}']", "variant")
     return F.schema_of_variant(value) == "STRING"
 
 
-def _truthy(properties: Column, field: str) -> Column:
+def _truthy(properties: Column, values: Column, field: str) -> Column:
     """Property text unless it is empty, zero, false or an empty container."""
-    text = json_text(properties, field)
+    text = F.try_element_at(values, F.lit(field))
     falsy = text.isin(*_FALSY_JSON) & ((text == "") | ~is_quoted(properties, field))
     return F.when(~falsy, text)
 
@@ -89,11 +89,15 @@ def _whole(text: Column, is_text: Column) -> Column:
     )
 
 
-def label_value(properties: Column, field: str) -> Column:
+def label_value(properties: Column, values: Column, field: str) -> Column:
     """Chosen label property for display; a JSON null is shown as the word None."""
-    shown = _whole(json_text(properties, field), is_quoted(properties, field))
-    present = F.array_contains(F.json_object_keys(properties), field)
-    return F.when(present, F.coalesce(shown, F.lit("None")))
+    shown = _whole(F.try_element_at(values, F.lit(field)), is_quoted(properties, field))
+    return F.when(F.map_contains_key(values, field), F.coalesce(shown, F.lit("None")))
+
+
+def _with_values(properties: Column, choose) -> Column:
+    """Parse the properties once per row and hand the map to ``choose``."""
+    return F.get(F.transform(F.array(properties_map(properties)), choose), F.lit(0))
 
 
 def feature_name(
@@ -104,19 +108,28 @@ def feature_name(
     The configured label wins; then the first usable name property; then the first usable
     identifier with its prefix; then the feature number.
     """
-    choices = [label_value(properties, label_field)] if label_field else []
-    choices += [_truthy(properties, f) for f in NAME_FIELDS]
-    choices += [
-        F.concat(F.lit(prefix), _whole(_truthy(properties, f), is_quoted(properties, f)))
-        for f, prefix in ID_FIELDS
-    ]
-    return F.coalesce(*choices, _numbered(feature_id))
+
+    def choose(values: Column) -> Column:
+        choices = [label_value(properties, values, label_field)] if label_field else []
+        choices += [_truthy(properties, values, f) for f in NAME_FIELDS]
+        choices += [
+            F.concat(
+                F.lit(prefix), _whole(_truthy(properties, values, f), is_quoted(properties, f))
+            )
+            for f, prefix in ID_FIELDS
+        ]
+        return F.coalesce(*choices)
+
+    return F.coalesce(_with_values(properties, choose), _numbered(feature_id))
 
 
 def report_feature_name(properties: Column, feature_id: Column) -> Column:
     """Name used on a location report: fewer properties are tried than in listings."""
-    choices = [_truthy(properties, f) for f in REPORT_NAME_FIELDS]
-    return F.coalesce(*choices, _numbered(feature_id))
+    named = _with_values(
+        properties,
+        lambda values: F.coalesce(*[_truthy(properties, values, f) for f in REPORT_NAME_FIELDS]),
+    )
+    return F.coalesce(named, _numbered(feature_id))
 
 
 def _numbered(feature_id: Column) -> Column:

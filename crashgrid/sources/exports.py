@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crashgrid.functions import geo
 from crashgrid.functions.labels import iso_text
@@ -16,13 +17,14 @@ def with_wkt_last(rows: DataFrame) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """One folder of CSV part files, each with a header; quotes are doubled."""
-    (
-        rows.write.mode("errorifexists")
-        .option("header", "true")
-        .option("escape", '"')
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-        .csv(path)
-    )
+    printed = [
+        iso_text(F.col(f.name), " ").alias(f.name)
+        if isinstance(f.dataType, T.TimestampNTZType)
+        else F.col(f.name)
+        for f in rows.schema.fields
+    ]
+    writer = rows.select(*printed).write.mode("errorifexists")
+    writer.option("header", "true").option("escape", '"').csv(path)
 
 
 def crash_feature() -> Column:

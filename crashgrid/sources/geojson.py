@@ -86,9 +86,10 @@ def clean_column(name: str) -> str:
     return re.sub("[ -]", "_", name.lower())
 
 
-def read_boundary_file(spark: SparkSession, path: str) -> DataFrame:
+def read_boundary_file(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A boundary file as a table: one column per property, geometry as GeoJSON text."""
-    inferred = spark.read.option("multiLine", "true").json(path).schema
+    whole = str(multiline).lower()
+    inferred = spark.read.option("multiLine", whole).json(path).schema
     properties = inferred["features"].dataType.elementType["properties"].dataType
     schema = T.StructType(
         [
@@ -105,7 +106,7 @@ def read_boundary_file(spark: SparkSession, path: str) -> DataFrame:
             )
         ]
     )
-    features = spark.read.schema(schema).option("multiLine", "true").json(path).select(
+    features = spark.read.schema(schema).option("multiLine", whole).json(path).select(
         F.inline("features")
     )
     flat = features.select("properties.*", "geometry")
@@ -118,9 +119,11 @@ class LoadedBoundary(NamedTuple):
     geometry_type: str
 
 
-def load_boundary(spark: SparkSession, path: str, table_path: str) -> LoadedBoundary:
+def load_boundary(
+    spark: SparkSession, path: str, table_path: str, multiline: bool = True
+) -> LoadedBoundary:
     """Replace a boundary table by the content of a file."""
-    rows = read_boundary_file(spark, path)
+    rows = read_boundary_file(spark, path, multiline)
     rows.write.mode("overwrite").parquet(table_path)
     stored = spark.read.parquet(table_path)
     seen = stored.agg(
