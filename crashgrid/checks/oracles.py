@@ -428,7 +428,7 @@ add("report_causes", ("fx_crashes",), f"""{BY_RADIUS}, c AS (SELECT * FROM fx_cr
 SELECT cause, crashes, injuries, fatalities,
  ((2000 * crashes + n) - (2000 * crashes + n) % (2 * n)) / (2 * n) / 10e0 AS percentage,
  CASE WHEN cause = 'UNKNOWN' THEN 'Unknown / Not Reported' ELSE array_to_string(list_transform(
-  string_split(lower(cause), ' '), w -> concat(upper(substr(w, 1, 1)), substr(w, 2))), ' ') END AS label
+  string_split(lower(cause), ' '), lambda w: concat(upper(substr(w, 1, 1)), substr(w, 2))), ' ') END AS label
 FROM g, t ORDER BY crashes DESC, cause LIMIT 15""")
 MONTHS = f"""{BY_RADIUS}, m AS (SELECT strftime(crash_date, '%Y-%m') AS month, {COUNTERS}
  FROM fx_crashes JOIN region USING (crash_record_id)
@@ -453,7 +453,7 @@ def as_text(*columns: str) -> str:
 add("export_crashes", ("fx_crashes",), f"""{EXPORTED}
 SELECT {text_time('crash_date')} AS crash_date, {as_text('crash_record_id', 'latitude', 'longitude',
  'injuries_total', 'injuries_fatal', 'injuries_incapacitating', 'hit_and_run_i', 'crash_type', 'street_name')},
- coalesce(prim_contributory_cause, NULL) AS prim_contributory_cause, {WKT} FROM c""")
+ nullif(prim_contributory_cause, '') AS prim_contributory_cause, {WKT} FROM c""")
 add("export_people", ("fx_crashes", "fx_people"), f"""{EXPORTED}
 SELECT {text_time('crash_date')} AS crash_date, {as_text('crash_record_id', 'person_id', 'vehicle_id',
  'person_type', 'age', 'injury_classification')}

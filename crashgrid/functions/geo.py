@@ -97,9 +97,13 @@ def in_edges(lon: Column, lat: Column, edges: Column) -> Column:
     """
 
     def step(acc: Column, e: Column) -> Column:
-        parts = (e["x1"], e["y1"], e["x2"], e["y2"])
+        y1, y2 = e["y1"], e["y2"]
+        # Most edges lie wholly above or below the point and are dismissed at once.
+        beside = ((y1 > lat) & (y2 > lat)) | ((y1 < lat) & (y2 < lat))
+        parts = (e["x1"], y1, e["x2"], y2)
         return (
-            F.when((acc < 0) | _touches(lon, lat, *parts), F.lit(-1))
+            F.when(beside, acc)
+            .when((acc < 0) | _touches(lon, lat, *parts), F.lit(-1))
             .when(_safe_crosses(lon, lat, *parts), acc + 1)
             .otherwise(acc)
         )

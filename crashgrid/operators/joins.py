@@ -66,10 +66,15 @@ def measured_join(
     spread_by: Sequence[str],
     condition: Column | None = None,
     weight: Column | None = None,
+    at_most: float | None = None,
     limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Inner join: no shuffle of the big side when the small side measurably fits, else salted."""
-    if fits_broadcast(small, weight, limit):
+    """Inner join: no shuffle of the big side when the small side measurably fits, else salted.
+
+    ``at_most`` is a known upper bound of the small side's weight; the side is measured only
+    when that bound does not settle the question.
+    """
+    if (at_most is not None and at_most <= limit) or fits_broadcast(small, weight, limit):
         joined = big.join(F.broadcast(small), list(on))
         return joined if condition is None else joined.where(condition)
     return salted_join(big, small, on, spread_by, condition)

@@ -7,6 +7,7 @@ points with all areas.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from crashgrid.functions import geo
 from crashgrid.operators.joins import BROADCAST_ROWS, measured_join
 
 CELL_DEGREES = 0.02
+SMALLEST_CELL = 0.001
 UNROLLED_EDGES = 32
 # Rounding of floor(x / cell) can move a point on a cell border by an ulp.
 _PAD = 1e-9
@@ -70,28 +72,72 @@ def with_edges(boundaries: DataFrame, polygons: str = "polygons") -> DataFrame:
     return boundaries.withColumn("edges", geo.edges_of(F.col(polygons))).drop(polygons)
 
 
+def _extent(pick, axis: str) -> Column:
+    return pick(F.transform("edges", lambda e: e[f"{axis}1"]))
+
+
+def with_extent(boundaries: DataFrame) -> DataFrame:
+    """Append the bounding box of every boundary that has edges."""
+    return boundaries.where(F.size("edges") > 0).withColumns(
+        {
+            "_west": _extent(F.array_min, "x"), "_east": _extent(F.array_max, "x"),
+            "_south": _extent(F.array_min, "y"), "_north": _extent(F.array_max, "y"),
+        }
+    )
+
+
+class Grid(NamedTuple):
+    """Cell size for a boundary set and an upper bound of the edges its cells can hold."""
+
+    cell: float
+    edge_bound: float
+
+
+def fitting_grid(boundaries: DataFrame, cell: float | None = None) -> Grid:
+    """Measure a boundary set once: how large its cells should be, and how heavy they get.
+
+    Cells are no larger than the middle-sized boundary, or every small boundary of a
+    neighbourhood would be compared with every point there. The size only steers the work;
+    any size gives the same result.
+    """
+    width, height = F.col("_east") - F.col("_west"), F.col("_north") - F.col("_south")
+    edges = F.size("edges") + 1
+    seen = (
+        with_extent(boundaries)
+        .agg(
+            F.percentile_approx(F.greatest(width, height), 0.5).alias("middle"),
+            F.sum(edges).alias("edges"),
+            F.sum(edges * (width + height)).alias("by_length"),
+            F.sum(edges * width * height).alias("by_area"),
+        )
+        .first()
+    )
+    if seen["edges"] is None:
+        return Grid(cell or CELL_DEGREES, 0.0)
+    if cell is None:
+        cell = min(CELL_DEGREES, max(SMALLEST_CELL, seen["middle"]))
+    # A box spans at most (width / cell + 2) * (height / cell + 2) cells.
+    bound = seen["by_area"] / cell**2 + 2 * seen["by_length"] / cell + 4 * seen["edges"]
+    return Grid(cell, bound)
+
+
 def boundary_cells(boundaries: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
     """Grid cells that each boundary covers, with only the edges a point there can need.
 
     A cell that no edge enters is decided once at its centre: outside cells disappear and
     inside cells carry no edges at all, so most points of a large area are matched by the
-    equi-join alone.
+    equi-join alone. In the other cells the bounding box is compared before any edge.
     """
     kept = [c for c in boundaries.columns if c != "edges"]
+    box = ["_west", "_east", "_south", "_north"]
 
-    def extent(pick, axis: str) -> Column:
-        return pick(
-            F.transform("edges", lambda e: e[f"{axis}1"])
-        )
-
-    def cells(axis: str) -> Column:
-        low, high = extent(F.array_min, axis), extent(F.array_max, axis)
-        return F.sequence(F.floor(low / cell), F.floor(high / cell))
+    def cells(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
 
     gridded = (
-        boundaries.where(F.size("edges") > 0)
-        .withColumn("cell_x", F.explode(cells("x")))
-        .withColumn("cell_y", F.explode(cells("y")))
+        with_extent(boundaries)
+        .withColumn("cell_x", cells("_west", "_east"))
+        .withColumn("cell_y", cells("_south", "_north"))
     )
     west, east = F.col("cell_x") * cell - _PAD, (F.col("cell_x") + 1) * cell + _PAD
     south, north = F.col("cell_y") * cell - _PAD, (F.col("cell_y") + 1) * cell + _PAD
@@ -103,15 +149,15 @@ def boundary_cells(boundaries: DataFrame, cell: float = CELL_DEGREES) -> DataFra
         & (F.least(e["y1"], e["y2"]) <= north),
     )
     trimmed = gridded.select(
-        *kept, "cell_x", "cell_y", near.alias("edges"),
-        ((west + east) / 2).alias("_x"), ((south + north) / 2).alias("_y"), east.alias("_east"),
+        *kept, *box, "cell_x", "cell_y", near.alias("edges"),
+        ((west + east) / 2).alias("_x"), ((south + north) / 2).alias("_y"), east.alias("_cell_east"),
     )
-    entered = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= F.col("_east"))
+    entered = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= F.col("_cell_east"))
     decided = trimmed.withColumn("_entered", entered).withColumn(
         "_inside", ~F.col("_entered") & geo.in_edges(F.col("_x"), F.col("_y"), F.col("edges"))
     )
     return decided.where("_entered OR _inside").select(
-        *kept, "cell_x", "cell_y", "_inside",
+        *kept, *box, "cell_x", "cell_y", "_inside",
         F.when(F.col("_entered"), F.col("edges")).alias("edges"),
     )
 
@@ -121,7 +167,7 @@ def within_boundaries(
     boundaries: DataFrame,
     lon: str = "longitude",
     lat: str = "latitude",
-    cell: float = CELL_DEGREES,
+    cell: float | None = None,
     spread_by: Sequence[str] | None = None,
     broadcast_limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -131,11 +177,16 @@ def within_boundaries(
     if the edges it holds stay under ``broadcast_limit``; otherwise both sides shuffle on
     the cell and crowded cells are split.
     """
+    cell, edge_bound = fitting_grid(boundaries, cell)
     cells = boundary_cells(boundaries, cell)
-    located = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumns(
-        {"cell_x": F.floor(F.col(lon) / cell), "cell_y": F.floor(F.col(lat) / cell)}
+    x, y = F.col(lon), F.col(lat)
+    located = points.where(x.isNotNull() & y.isNotNull()).withColumns(
+        {"cell_x": F.floor(x / cell), "cell_y": F.floor(y / cell)}
+    )
+    in_box = (
+        (x > F.col("_west")) & (x < F.col("_east")) & (y > F.col("_south")) & (y < F.col("_north"))
     )
-    contains = F.col("_inside") | geo.in_edges(F.col(lon), F.col(lat), F.col("edges"))
+    contains = F.col("_inside") | (in_box & geo.in_edges(x, y, F.col("edges")))
     joined = measured_join(
         located,
         cells,
@@ -143,9 +194,10 @@ def within_boundaries(
         spread_by=spread_by or [lon, lat],
         condition=contains,
         weight=F.lit(1) + F.coalesce(F.size("edges"), F.lit(0)),
+        at_most=edge_bound,
         limit=broadcast_limit,
     )
-    return joined.drop("cell_x", "cell_y", "_inside", "edges")
+    return joined.select(*points.columns, *[c for c in boundaries.columns if c != "edges"])
 
 
 def nearest_place(boundaries: DataFrame, longitude: float, latitude: float, key: str) -> DataFrame:

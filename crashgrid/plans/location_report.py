@@ -139,6 +139,7 @@ class LocationReport:
             *S.MAP_POINT_COLUMNS, "longitude", "latitude"
         )
         self._cached = False
+        self._keys_fit: bool | None = None
 
     def __enter__(self) -> LocationReport:
         self.crashes = self.crashes.persist(StorageLevel.MEMORY_AND_DISK)
@@ -161,7 +162,9 @@ class LocationReport:
         keys = self.crashes.select(
             "crash_record_id", P.is_property_damage_only().alias("property_damage_only")
         )
-        if fits_broadcast(keys, limit=self.broadcast_limit):
+        if self._keys_fit is None:
+            self._keys_fit = fits_broadcast(keys, limit=self.broadcast_limit)
+        if self._keys_fit:
             joined = children.join(F.broadcast(keys), "crash_record_id")
             return joined.agg(*[m.alias(n) for n, m in measures.items()])
         return self._counted_first(children, keys, measures)
