@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Vertex = Sequence[float]
+Edge = tuple[float, float, float, float]
 
 WGS84_A = 6378137.0
 WGS84_E2 = 0.0066943799901413165
@@ -21,7 +22,7 @@ WGS84_E2 = 0.0066943799901413165
 _MIN_METERS_PER_DEGREE = 110_574.0
 _KM_PER_DEGREE = 111.0
 
-EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
+EDGE_DDL = "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
 POLYGONS = "array<array<array<array<double>>>>"
 
 
@@ -59,11 +60,6 @@ def close_ring(vertices: Sequence[Vertex]) -> list[tuple[float, float]]:
     return ring if ring[0] == ring[-1] else [*ring, ring[0]]
 
 
-def ring_box(ring: Sequence[Vertex]) -> tuple[float, float, float, float]:
-    lons, lats = [v[0] for v in ring], [v[1] for v in ring]
-    return min(lons), min(lats), max(lons), max(lats)
-
-
 def _crosses(lon, lat, x1, y1, x2, y2):
     """Edge crosses the ray that runs east of the point."""
     return ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
@@ -79,10 +75,20 @@ def _touches(lon, lat, x1, y1, x2, y2):
     )
 
 
-def in_literal_ring(lon: Column, lat: Column, ring: Sequence[Vertex]) -> Column:
-    """Strictly inside one closed ring given as numbers; points on the border are outside."""
+def ring_edges(ring: Sequence[Vertex]) -> list[Edge]:
+    """Edges (x1, y1, x2, y2) of a closed ring."""
+    return [(a[0], a[1], b[0], b[1]) for a, b in zip(ring, ring[1:])]
+
+
+def edges_box(edges: Sequence[Edge]) -> tuple[float, float, float, float]:
+    lons, lats = [e[0] for e in edges], [e[1] for e in edges]
+    return min(lons), min(lats), max(lons), max(lats)
+
+
+def in_literal_edges(lon: Column, lat: Column, edges: Sequence[Edge]) -> Column:
+    """Strictly inside an area given as numbers; points on the border are outside."""
     crossings, border = F.lit(0), F.lit(False)
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+    for x1, y1, x2, y2 in edges:
         edge = [F.lit(float(v)) for v in (x1, y1, x2, y2)]
         if y1 != y2:
             crossings = crossings + F.when(_crosses(lon, lat, *edge), 1).otherwise(0)
@@ -121,7 +127,7 @@ def _safe_crosses(lon, lat, x1, y1, x2, y2):
 def edges_of(polygons: Column) -> Column:
     """All edges of a multipolygon (polygons > rings > vertices > [lon, lat])."""
 
-    def ring_edges(ring: Column) -> Column:
+    def edges_of_ring(ring: Column) -> Column:
         starts = F.slice(ring, F.lit(1), F.size(ring) - 1)
         ends = F.slice(ring, F.lit(2), F.size(ring) - 1)
         return F.zip_with(
@@ -132,7 +138,7 @@ def edges_of(polygons: Column) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(F.flatten(polygons), ring_edges))
+    return F.flatten(F.transform(F.flatten(polygons), edges_of_ring))
 
 
 def edge_distance(lon: Column, lat: Column, e: Column) -> Column:

@@ -49,22 +49,27 @@ def within_ring(
     """Points strictly inside a drawn polygon; an open ring is closed."""
     if len(vertices) < 3:
         raise ValueError("a polygon needs at least three vertices")
-    ring = geo.close_ring(vertices)
+    return within_edges(points, geo.ring_edges(geo.close_ring(vertices)), lon, lat)
+
+
+def within_edges(
+    points: DataFrame,
+    edges: Sequence[geo.Edge],
+    lon: str = "longitude",
+    lat: str = "latitude",
+) -> DataFrame:
+    """Points strictly inside one area whose edges the driver knows.
+
+    The bounding box becomes range filters on the scan. Few edges unroll into plain
+    arithmetic; many go through the gridded join, so no point meets all of them.
+    """
     x, y = F.col(lon), F.col(lat)
-    boxed = points.where(geo.in_box(x, y, geo.ring_box(ring)))
-    if len(ring) - 1 <= UNROLLED_EDGES:
-        return boxed.where(geo.in_literal_ring(x, y, ring))
-    edges = F.array(
-        *[
-            F.struct(
-                F.lit(x1).alias("x1"), F.lit(y1).alias("y1"),
-                F.lit(x2).alias("x2"), F.lit(y2).alias("y2"),
-            )
-            for (x1, y1), (x2, y2) in zip(ring, ring[1:])
-        ]
-    )
-    area = points.sparkSession.range(1).select(F.lit("drawn").alias("place_id"), edges.alias("edges"))
-    return within_boundaries(boxed, area, lon=lon, lat=lat).drop("place_id")
+    boxed = points.where(geo.in_box(x, y, geo.edges_box(edges)))
+    if len(edges) <= UNROLLED_EDGES:
+        return boxed.where(geo.in_literal_edges(x, y, edges))
+    spark = points.sparkSession
+    area = spark.createDataFrame([(list(edges),)], f"edges ARRAY<STRUCT<{geo.EDGE_DDL}>>")
+    return within_boundaries(boxed, area, lon=lon, lat=lat)
 
 
 def with_edges(boundaries: DataFrame, polygons: str = "polygons") -> DataFrame:

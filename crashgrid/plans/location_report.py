@@ -49,6 +49,13 @@ class Place:
     place_id: str
     boundary: DataFrame
 
+    def edges(self) -> list[geo.Edge]:
+        """Outline of the one place, fetched so that its box can be pushed to the scans."""
+        found = self.boundary.select("edges").first()
+        if found is None:
+            raise LookupError(f"place not found: {self.place_type}/{self.place_id}")
+        return [tuple(e) for e in found["edges"]]
+
 
 Region = Radius | Ring | Place
 
@@ -77,8 +84,7 @@ def in_region(rows: DataFrame, region: Region) -> DataFrame:
         )
     if isinstance(region, Ring):
         return spatial.within_ring(located, region.vertices)
-    area = region.boundary.select("edges")
-    return spatial.within_boundaries(located, area).select(*rows.columns)
+    return spatial.within_edges(located, region.edges())
 
 
 def _kabco_count(injury: str) -> Column:

@@ -21,10 +21,12 @@ CONF = {
 }
 
 
-def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: str = "*", memory: str = "8g", partitions: int = 8, conf: dict[str, str] | None = None
+) -> SparkSession:
     """Session for tests and single-machine runs."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("crashgrid")
-    for key, value in CONF.items():
+    for key, value in (CONF | (conf or {})).items():
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
@@ -39,7 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
 
     A machine-local folder is used only where the master itself is local.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    )
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

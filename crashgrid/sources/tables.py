@@ -2,8 +2,8 @@
 
 A table is a folder of ``part=<value>/rev=<token>`` directories plus one small commit file
 per revision that lists which directory of each part is current. Replacing parts writes new
-directories with an ordinary Spark job and then publishes a commit file in one exclusive
-create: a job that dies half-way leaves the table as it was, readers never see a mixture,
+directories with an ordinary Spark job and then publishes a commit file by one rename: a
+job that dies half-way leaves the table as it was, readers never see a mixture,
 and parts that are not touched are never rewritten.
 """
 
@@ -79,14 +79,17 @@ class PartedTable:
         return json.loads(text)
 
     def _publish(self, state: dict) -> None:
+        """Write the commit aside and rename it into place, so that no reader sees half of it."""
         fs, file = self._fs(f"{self.path}/_commits/{state['revision']:09d}.json")
-        if fs.exists(file):
-            raise ConcurrentCommit(f"{self.path}: revision {state['revision']} already exists")
-        stream = fs.create(file, False)
+        _, draft = self._fs(f"{self.path}/_commits/draft-{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
         try:
             stream.write(bytearray(json.dumps(state, sort_keys=True), "utf-8"))
         finally:
             stream.close()
+        if fs.exists(file) or not fs.rename(draft, file):
+            fs.delete(draft, False)
+            raise ConcurrentCommit(f"{self.path}: revision {state['revision']} already exists")
 
     # -- reading -------------------------------------------------------------
     def read(
@@ -170,6 +173,33 @@ class PartedTable:
         )
         return state["revision"] + 1
 
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete directories that none of the last ``keep`` revisions uses; returns how many.
+
+        Directories of a revision newer than the ones read here are left alone, so a writer
+        may be at work.
+        """
+        latest = self.revision()
+        live: set[tuple[str, str]] = set()
+        for revision in range(max(1, latest - keep + 1), latest + 1):
+            live.update(self.state(revision)["parts"].items())
+        fs, data = self._fs(f"{self.path}/data")
+        if latest == 0 or not fs.exists(data):
+            return 0
+        removed = 0
+        for part_dir in fs.listStatus(data):
+            part = part_dir.getPath().getName().removeprefix("part=")
+            if not part_dir.isDirectory():
+                continue
+            for rev_dir in fs.listStatus(part_dir.getPath()):
+                token = rev_dir.getPath().getName().removeprefix("rev=")
+                made_at = token.split("-")[0]
+                old = made_at.isdigit() and int(made_at) <= latest
+                if old and (part, token) not in live:
+                    fs.delete(rev_dir.getPath(), True)
+                    removed += 1
+        return removed
+
     def load(self, rows: DataFrame) -> int:
         """Replace the whole table by ``rows``."""
         values = rows.select(self.part.cast("string").alias("part")).distinct().collect()
