@@ -1,10 +1,11 @@
-"""Warehouse tables on plain Parquet with replaceable partitions.
-
-A table is a folder of ``part=<value>/rev=<token>`` directories plus one small commit file
-per revision that lists which directory of each part is current. Replacing parts writes new
-directories with an ordinary Spark job and then publishes a commit file by one rename: a
-job that dies half-way leaves the table as it was, readers never see a mixture,
-and parts that are not touched are never rewritten.
+"""Warehouse tables on plain Parquet with replaceable directories.
+
+A table is a folder of ``part=<value>/rev=<token>`` directories plus one small commit file per
+revision that lists the current directories of each part. A change writes new directories with
+an ordinary Spark job and then publishes a commit file by one rename: a job that dies half-way
+leaves the table as it was, readers never see a mixture, and directories that are not touched
+are neither read nor rewritten. New rows only add a directory to their part; a part that has
+gathered many is folded into one the next time it changes.
 """
 
 from __future__ import annotations
@@ -18,8 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crashgrid.functions.predicates import in_dates
+
 UNKNOWN_PART = "unknown"
 ONE_PART = "all"
+# A part with this many directories is folded into one when it is next written.
+FOLD_AT = 16
+
+Directory = tuple[str, str]
 
 
 def month_part(column: str = "crash_date") -> Column:
@@ -32,7 +39,7 @@ class ConcurrentCommit(RuntimeError):
 
 
 class PartedTable:
-    """Parquet table whose partitions are replaced as a whole."""
+    """Parquet table whose directories are replaced as a whole."""
 
     def __init__(
         self,
@@ -64,7 +71,7 @@ class PartedTable:
         return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
 
     def state(self, revision: int | None = None) -> dict:
-        """Commit of a revision: current directory per part, and the applied batch ids."""
+        """Commit of a revision: current directories per part, and the applied batch ids."""
         revision = self.revision() if revision is None else revision
         if revision == 0:
             return {"revision": 0, "parts": {}, "batches": {}}
@@ -91,30 +98,35 @@ class PartedTable:
             fs.delete(draft, False)
             raise ConcurrentCommit(f"{self.path}: revision {state['revision']} already exists")
 
+    def directories(self, parts: Iterable[str] | None = None, state: dict | None = None) -> set[Directory]:
+        """Current (part, rev) directories, of all parts or of some."""
+        current = (state or self.state())["parts"]
+        chosen = current if parts is None else {p: current[p] for p in parts if p in current}
+        return {(p, token) for p, tokens in chosen.items() for token in tokens}
+
     # -- reading -------------------------------------------------------------
-    def read(
-        self,
-        parts: Iterable[str] | None = None,
-        revision: int | None = None,
-        with_part: bool = False,
-    ) -> DataFrame:
+    def read(self, parts: Iterable[str] | None = None, revision: int | None = None) -> DataFrame:
         """Current rows, or only those of some parts (other directories are not listed)."""
-        current = self.state(revision)["parts"]
-        chosen = current if parts is None else {p: current[p] for p in parts if p in current}
+        state = self.state(revision)
+        return self.read_directories(self.directories(parts, state)).drop("part", "rev")
+
+    def read_directories(self, directories: Iterable[Directory]) -> DataFrame:
+        """Rows of some directories, with the ``part`` and ``rev`` they come from."""
         stored = T.StructType(
             [*self.schema.fields, T.StructField("part", T.StringType()),
              T.StructField("rev", T.StringType())]
         )
-        if not chosen:
-            rows = self.spark.createDataFrame([], stored)
-        else:
-            folders = [f"{self.path}/data/part={p}/rev={r}" for p, r in sorted(chosen.items())]
-            rows = (
-                self.spark.read.schema(stored)
-                .option("basePath", f"{self.path}/data")
-                .parquet(*folders)
-            )
-        return rows.drop("rev") if with_part else rows.drop("rev", "part")
+        folders = [f"{self.path}/data/part={p}/rev={r}" for p, r in sorted(directories)]
+        if not folders:
+            return self.spark.createDataFrame([], stored)
+        reader = self.spark.read.schema(stored).option("basePath", f"{self.path}/data")
+        return reader.parquet(*folders)
+
+    def read_between(
+        self, start: datetime | None = None, end: datetime | None = None, column: str = "crash_date"
+    ) -> DataFrame:
+        """Rows of an inclusive date range of a monthly table; other months are not listed."""
+        return self.read(self.months(start, end)).where(in_dates(column, start, end))
 
     def months(self, start: date | datetime | None, end: date | datetime | None) -> list[str]:
         """Monthly parts that can hold rows of a date range."""
@@ -126,17 +138,17 @@ class PartedTable:
         return [p for p in parts if p != UNKNOWN_PART and low <= p <= high]
 
     # -- writing -------------------------------------------------------------
-    def replace(
+    def rewrite(
         self,
         rows: DataFrame,
-        parts: Iterable[str],
+        replaced: Iterable[Directory],
         batch: tuple[str, int, list[int]] | None = None,
         based_on: dict | None = None,
     ) -> int:
-        """Make ``rows`` the whole content of ``parts``; parts left without rows disappear.
+        """Put ``rows`` in the place of some directories; with none given, append them.
 
-        Rows must belong to ``parts``. Output is rebalanced by part, which splits a part
-        that holds most of the rows over many tasks and packs small parts together.
+        Output is rebalanced by part, which splits a part that holds most of the rows over
+        many tasks and packs small parts together.
         """
         state = based_on or self.state()
         revision = state["revision"] + 1
@@ -151,27 +163,46 @@ class PartedTable:
             .withColumn("rev", F.lit(token))
         )
         laid_out.write.mode("append").partitionBy("part", "rev").parquet(f"{self.path}/data")
-        kept = {p: r for p, r in state["parts"].items() if p not in set(parts)}
-        kept.update({p: token for p in parts if self._exists(p, token)})
+        gone = set(replaced)
+        kept = self.directories(state=state) - gone
+        kept |= {(part, token) for part in self._parts_on_disk() if self._exists(part, token)}
+        self._commit(state, kept, batch)
+        return revision
+
+    def _commit(self, state: dict, directories: set[Directory], batch=None) -> None:
+        parts: dict[str, list[str]] = {}
+        for part, token in sorted(directories):
+            parts.setdefault(part, []).append(token)
         batches = dict(state["batches"])
         if batch is not None:
             batches[batch[0]] = {"id": batch[1], "counts": batch[2]}
-        self._publish({"revision": revision, "parts": kept, "batches": batches})
-        return revision
+        self._publish({"revision": state["revision"] + 1, "parts": parts, "batches": batches})
+
+    def _parts_on_disk(self) -> list[str]:
+        fs, data = self._fs(f"{self.path}/data")
+        if not fs.exists(data):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(data)]
+        return [n.removeprefix("part=") for n in names if n.startswith("part=")]
 
     def _exists(self, part: str, token: str) -> bool:
         fs, folder = self._fs(f"{self.path}/data/part={part}/rev={token}")
         return fs.exists(folder)
 
-    def drop_parts(self, parts: Iterable[str]) -> int:
+    def replace(self, rows: DataFrame, parts: Iterable[str]) -> int:
+        """Make ``rows`` the whole content of ``parts``; parts left without rows disappear."""
+        state = self.state()
+        return self.rewrite(rows, self.directories(parts, state), based_on=state)
+
+    def drop_parts(self, parts: Iterable[str]) -> None:
         """Forget whole parts without reading or writing any data."""
         state = self.state()
-        gone = set(parts)
-        kept = {p: r for p, r in state["parts"].items() if p not in gone}
-        self._publish(
-            {"revision": state["revision"] + 1, "parts": kept, "batches": state["batches"]}
-        )
-        return state["revision"] + 1
+        self._commit(state, self.directories(state=state) - self.directories(parts, state))
+
+    def load(self, rows: DataFrame) -> int:
+        """Replace the whole table by ``rows``."""
+        state = self.state()
+        return self.rewrite(rows, self.directories(state=state), based_on=state)
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete directories that none of the last ``keep`` revisions uses; returns how many.
@@ -180,9 +211,9 @@ class PartedTable:
         may be at work.
         """
         latest = self.revision()
-        live: set[tuple[str, str]] = set()
+        live: set[Directory] = set()
         for revision in range(max(1, latest - keep + 1), latest + 1):
-            live.update(self.state(revision)["parts"].items())
+            live |= self.directories(state=self.state(revision))
         fs, data = self._fs(f"{self.path}/data")
         if latest == 0 or not fs.exists(data):
             return 0
@@ -200,12 +231,6 @@ class PartedTable:
                     removed += 1
         return removed
 
-    def load(self, rows: DataFrame) -> int:
-        """Replace the whole table by ``rows``."""
-        values = rows.select(self.part.cast("string").alias("part")).distinct().collect()
-        new_parts = [r["part"] for r in values]
-        return self.replace(rows, {*new_parts, *self.state()["parts"]})
-
 
 def warehouse_table(spark: SparkSession, path: str, spec) -> PartedTable:
     """One of the four crash tables, partitioned by month and sorted for row-group skipping."""
