@@ -136,6 +136,8 @@ FROM fx_crashes""")
 add("map_layer_fatalities", ("fx_fatalities",), f"""
 SELECT person_id, {text_time('crash_date')} AS crash_date, victim FROM fx_fatalities""")
 
+add("map_layer_features", ("fx_layer_features",), "SELECT layer_id, properties FROM fx_layer_features")
+
 add("table_counts", ("fx_crashes", "fx_people", "fx_vehicles", "fx_fatalities"), """
 , t AS (SELECT 'crashes' AS table_name, count(*) AS record_count FROM fx_crashes
  UNION ALL SELECT 'crash_people', count(*) FROM fx_people
@@ -145,10 +147,10 @@ SELECT * FROM t UNION ALL SELECT 'total', CAST(sum(record_count) AS BIGINT) FROM
 
 OUTLIERS = """, raw AS (SELECT ingest_seq, TRY_CAST(trim(latitude) AS DOUBLE) AS latitude,
  TRY_CAST(trim(longitude) AS DOUBLE) AS longitude FROM fx_raw_crashes),
- o AS (SELECT * FROM raw WHERE latitude IS NOT NULL AND longitude IS NOT NULL
- AND NOT (latitude BETWEEN 41.6e0 AND 42.1e0 AND longitude BETWEEN -87.95e0 AND -87.5e0))"""
+ o AS (SELECT * FROM raw WHERE latitude IS NOT NULL
+ AND (latitude NOT BETWEEN 41.6e0 AND 42.1e0 OR longitude NOT BETWEEN -87.95e0 AND -87.5e0))"""
 add("coordinate_outliers", ("fx_raw_crashes",), f"""{OUTLIERS}
-SELECT *, concat('POINT(', CAST(longitude AS VARCHAR), ' ', CAST(latitude AS VARCHAR), ')') AS point
+SELECT *, 'POINT(' || CAST(longitude AS VARCHAR) || ' ' || CAST(latitude AS VARCHAR) || ')' AS point
 FROM o""")
 add("coordinate_outlier_count", ("fx_raw_crashes",),
     f"{OUTLIERS} SELECT count(*) AS out_of_bounds_count FROM o")
@@ -367,6 +369,11 @@ FROM fx_sites, range(65) AS r(n)""")
 add("wkt_round_trip", ("fx_crashes",), """
 SELECT crash_record_id, longitude, latitude FROM fx_crashes WHERE longitude IS NOT NULL""")
 
+add("crash_geometry", ("fx_crashes",), """
+SELECT crash_record_id, CASE WHEN longitude IS NOT NULL AND latitude IS NOT NULL THEN
+ concat('{"lon":', CAST(longitude AS VARCHAR), ',"lat":', CAST(latitude AS VARCHAR), '}') END AS point
+FROM fx_crashes""")
+
 # -- location report ---------------------------------------------------------
 KABCO = list(INJURY_COSTS)
 IS_PDO = "coalesce(injuries_total, 0) = 0 AND coalesce(injuries_fatal, 0) = 0"
@@ -533,6 +540,10 @@ UNION ALL SELECT 2, 'Second', 'second', 'MULTIPOLYGON', 3435, (SELECT count(*) F
 add("layer_feature_counts", ("fx_layer_features",), f"""{UPLOADED}
 SELECT CAST(layer AS INT) AS layer_id, (SELECT count(*) FROM u) AS features, (SELECT count(*) FROM u) AS ids
 FROM (VALUES (1), (2)) AS t(layer)""")
+# The fifth feature of the upload is customer 4; layer 1 is labelled by "name", which it lacks.
+add("layer_geometry", ("fx_layer_features", "fx_zones"), f"""
+SELECT 'layer:1' AS place_type, '5' AS place_id, json_extract_string(properties, '$.title') AS name,
+ {zone_json()} AS geometry FROM fx_layer_features JOIN fx_zones ON ward = id WHERE id = 4""")
 add("place_types", ("fx_zones", "fx_areas", "fx_layer_features"), f"""{UPLOADED}
 SELECT 'wards' AS id, 'Wards' AS name, 'native' AS source, count(*) AS feature_count FROM fx_zones
 UNION ALL SELECT 'community_areas', 'Community Areas', 'native', count(*) FROM fx_areas

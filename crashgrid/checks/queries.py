@@ -167,6 +167,11 @@ def map_layer_fatalities(spark, sf):
     return times_as_text(dashboard.map_layer(rows, "vision_zero_fatalities"))
 
 
+@query
+def map_layer_features(spark, sf):
+    return dashboard.map_layer(view(spark, sf, "fx_layer_features"), "spatial_layer_features")
+
+
 @query
 def table_counts(spark, sf):
     names = {"crashes": "fx_crashes", "crash_people": "fx_people", "crash_vehicles": "fx_vehicles",
@@ -382,10 +387,7 @@ def crashes_in_place(spark, sf):
 
 @query
 def place_lookup(spark, sf):
-    found = places.native_place(_zone_boundaries(spark, sf), "wards", "42")
-    return found.select(
-        "place_type", "place_id", "name", geo.geojson_from_polygons(F.col("polygons")).alias("geometry")
-    )
+    return places.native_geometry(_zone_boundaries(spark, sf), "wards", "42")
 
 
 @query
@@ -462,6 +464,13 @@ def wkt_round_trip(spark, sf):
                          F.col("p.lat").alias("latitude"))
 
 
+@query
+def crash_geometry(spark, sf):
+    """Points where both coordinates are known, null elsewhere."""
+    point = geo.make_point(F.col("longitude"), F.col("latitude"))
+    return view(spark, sf, "fx_crashes").select("crash_record_id", F.to_json(point).alias("point"))
+
+
 # -- location report ---------------------------------------------------------
 def _report(spark, sf, region, start=None, end=None) -> R.LocationReport:
     return R.LocationReport(
@@ -733,6 +742,12 @@ def layer_feature_counts(spark, sf):
     )
 
 
+@query
+def layer_geometry(spark, sf):
+    found = places.geometry_of_active_layer(_layer_store(spark, sf), 1, 5)
+    return found.select("place_type", "place_id", "name", "geometry")
+
+
 @query
 def place_types(spark, sf):
     native = {"wards": view(spark, sf, "fx_zones"), "community_areas": view(spark, sf, "fx_areas"),

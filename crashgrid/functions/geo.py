@@ -157,6 +157,12 @@ def polygon_distance(lon: Column, lat: Column, edges: Column) -> Column:
     return F.when(in_edges(lon, lat, edges), F.lit(0.0)).otherwise(nearest)
 
 
+def make_point(lon: Column, lat: Column) -> Column:
+    """Struct of lon and lat; null unless both coordinates are known."""
+    both = lon.isNotNull() & lat.isNotNull()
+    return F.when(both, F.struct(lon.alias("lon"), lat.alias("lat")))
+
+
 def point_wkt(lon: str = "longitude", lat: str = "latitude") -> Column:
     """``POINT(lon lat)``, or null when either coordinate is missing."""
     return F.concat(

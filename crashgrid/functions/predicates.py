@@ -70,10 +70,14 @@ def is_property_damage_only() -> Column:
 
 
 def outside_bounds() -> Column:
-    """Both coordinates present and at least one of them out of the served area."""
-    lat_ok = F.col("latitude").between(S.MIN_LATITUDE, S.MAX_LATITUDE)
-    lon_ok = F.col("longitude").between(S.MIN_LONGITUDE, S.MAX_LONGITUDE)
-    return has_point() & ~(lat_ok & lon_ok)
+    """Latitude present and either coordinate out of the served area.
+
+    A missing longitude counts only when the latitude alone is already out.
+    """
+    lat, lon = F.col("latitude"), F.col("longitude")
+    lat_out = ~lat.between(S.MIN_LATITUDE, S.MAX_LATITUDE)
+    lon_out = ~lon.between(S.MIN_LONGITUDE, S.MAX_LONGITUDE)
+    return lat.isNotNull() & (lat_out | lon_out)
 
 
 def _count(column: str) -> Column:

@@ -174,7 +174,7 @@ def map_layer(rows: DataFrame, table: str) -> DataFrame:
 
 
 def coordinate_outliers(crashes: DataFrame) -> DataFrame:
-    """Crashes whose coordinates are present but out of the served area."""
+    """Crashes whose coordinates fall out of the served area."""
     return crashes.where(P.outside_bounds())
 
 
@@ -186,9 +186,7 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
             F.lit(name).alias("table_name"), "record_count"
         )
         counts = one if counts is None else counts.unionByName(one)
-    grand = counts.agg(F.sum("record_count").alias("record_count")).select(
-        F.lit("total").alias("table_name"), "record_count"
+    # One rollup, so that no table is counted a second time for the total.
+    return counts.rollup("table_name").agg(F.sum("record_count").alias("record_count")).select(
+        F.coalesce("table_name", F.lit("total")).alias("table_name"), "record_count"
     )
-    return counts.unionByName(grand)
-
-

@@ -56,21 +56,53 @@ def layer_items(
     return ordered.withColumn("display_name", F.col("name"))
 
 
-def items_of_active_layer(store, layer_id: int) -> DataFrame:
-    """Items of a stored layer; an unknown or inactive layer is an error."""
+def _active_layer(store, layer_id: int):
     layer = active_layers(store.layers()).where(F.col("id") == layer_id).first()
     if layer is None:
         raise LookupError(f"layer not found or inactive: {layer_id}")
+    return layer
+
+
+def items_of_active_layer(store, layer_id: int) -> DataFrame:
+    """Items of a stored layer; an unknown or inactive layer is an error."""
+    layer = _active_layer(store, layer_id)
     return layer_items(store.features(layer_id), layer["label_field"], layer["sort_type"])
 
 
-def native_place(rows: DataFrame, place_type: str, place_id: str) -> DataFrame:
-    """The boundary of one native place, found by its key as text."""
+def geometry_of_active_layer(store, layer_id: int, feature_id: int) -> DataFrame:
+    """Listed name and GeoJSON geometry of one feature of an active layer."""
+    layer = _active_layer(store, layer_id)
+    name = L.feature_name(F.col("properties"), F.col("id"), layer["label_field"])
+    return (
+        store.features(layer_id)
+        .where(F.col("id") == feature_id)
+        .select(
+            F.lit(f"{LAYER_PREFIX}{layer_id}").alias("place_type"),
+            F.col("id").cast("string").alias("place_id"), name.alias("name"), "geometry",
+        )
+    )
+
+
+def _native(rows: DataFrame, place_type: str, place_id: str) -> DataFrame:
     if place_type not in S.NATIVE_PLACES:
         raise ValueError(f"unknown place type: {place_type}")
     key = S.NATIVE_PLACES[place_type][1]
+    return rows.where(F.col(key).cast("string") == place_id)
+
+
+def native_geometry(rows: DataFrame, place_type: str, place_id: str) -> DataFrame:
+    """Listed name and GeoJSON geometry of one native place."""
+    return _native(rows, place_type, place_id).select(
+        F.lit(place_type).alias("place_type"), F.lit(place_id).alias("place_id"),
+        L.native_name(place_type).alias("name"),
+        geo.geojson_from_polygons(F.col("polygons")).alias("geometry"),
+    )
+
+
+def native_place(rows: DataFrame, place_type: str, place_id: str) -> DataFrame:
+    """The boundary of one native place for a report, found by its key as text."""
     geometry = [c for c in ("polygons", "edges") if c in rows.columns]
-    return rows.where(F.col(key).cast("string") == place_id).select(
+    return _native(rows, place_type, place_id).select(
         F.lit(place_type).alias("place_type"),
         F.lit(place_id).alias("place_id"),
         L.native_report_name(place_type, place_id).alias("name"),

@@ -165,7 +165,7 @@ class PartedTable:
         laid_out.write.mode("append").partitionBy("part", "rev").parquet(f"{self.path}/data")
         gone = set(replaced)
         kept = self.directories(state=state) - gone
-        kept |= {(part, token) for part in self._parts_on_disk() if self._exists(part, token)}
+        kept |= {(part, token) for part in self._parts_with(token)}
         self._commit(state, kept, batch)
         return revision
 
@@ -178,16 +178,11 @@ class PartedTable:
             batches[batch[0]] = {"id": batch[1], "counts": batch[2]}
         self._publish({"revision": state["revision"] + 1, "parts": parts, "batches": batches})
 
-    def _parts_on_disk(self) -> list[str]:
-        fs, data = self._fs(f"{self.path}/data")
-        if not fs.exists(data):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(data)]
-        return [n.removeprefix("part=") for n in names if n.startswith("part=")]
-
-    def _exists(self, part: str, token: str) -> bool:
-        fs, folder = self._fs(f"{self.path}/data/part={part}/rev={token}")
-        return fs.exists(folder)
+    def _parts_with(self, token: str) -> list[str]:
+        """Parts that one write has put rows into."""
+        fs, pattern = self._fs(f"{self.path}/data/part=*/rev={token}")
+        found = fs.globStatus(pattern) or []
+        return [f.getPath().getParent().getName().removeprefix("part=") for f in found]
 
     def replace(self, rows: DataFrame, parts: Iterable[str]) -> int:
         """Make ``rows`` the whole content of ``parts``; parts left without rows disappear."""
