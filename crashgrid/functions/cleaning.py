@@ -25,9 +25,25 @@ _ISO = rf"^(?!0000)\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:T{_CLOCK}(?:\.\d{{1,6}})?| {_CL
 _US = rf"^(\d{{1,2}})/(\d{{1,2}})/(?!0000)(\d{{4}})(?: ({_CLOCK}) [AP]M)?$"
 
 
+# ASCII control characters that count as whitespace.
+_CONTROLS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+
+
+def _irregular(text: Column) -> Column:
+    """Whether text may hold whitespace other than single spaces.
+
+    Byte searches only; nearly all values of a feed pass without meeting the pattern.
+    """
+    suspects = text.contains("  ") | (F.octet_length(text) != F.char_length(text))
+    for control in _CONTROLS:
+        suspects = suspects | text.contains(control)
+    return suspects
+
+
 def squeeze(value: Column) -> Column:
     """Collapse whitespace runs to one space and strip both ends."""
-    return F.trim(F.regexp_replace(value.cast("string"), _RUN, " "))
+    text = value.cast("string")
+    return F.trim(F.when(_irregular(text), F.regexp_replace(text, _RUN, " ")).otherwise(text))
 
 
 def clean_string(value: Column, max_length: int | None = None) -> Column:

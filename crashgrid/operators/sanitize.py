@@ -16,11 +16,24 @@ from crashgrid.functions import cleaning as C
 Rule = Callable[[Column], Column]
 
 
+# What each rule returns, for fields a feed leaves out.
+_RESULT = {
+    C.clean_string: "string",
+    C.clean_integer: "int",
+    C.clean_age: "int",
+    C.clean_vehicle_year: "int",
+    C.clean_float: "double",
+    C.clean_latitude: "double",
+    C.clean_longitude: "double",
+    C.parse_datetime: "timestamp_ntz",
+}
+
+
 def _apply(raw: DataFrame, rules: dict[str, Rule], carry: Iterable[str]) -> DataFrame:
     """Project every rule; a field the feed does not deliver is null."""
     available = set(raw.columns)
     cleaned = [
-        rule(F.col(f"`{name}`") if name in available else F.lit(None).cast("string")).alias(name)
+        (rule(F.col(f"`{name}`")) if name in available else F.lit(None).cast(_RESULT[rule])).alias(name)
         for name, rule in rules.items()
     ]
     return raw.select(*cleaned, *[F.col(f"`{c}`") for c in carry])

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings a cluster session should carry. AQE sizes shuffle partitions from the data, splits
-# skewed ones and turns measured-small joins into broadcasts.
+# skewed ones and turns measured-small joins into broadcasts. The method limit is the JVM's own:
+# longer generated methods are never compiled, so the wide cleaning projections do better split.
 CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,6 +18,7 @@ CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.files.maxPartitionBytes": "134217728",
 }
 
