@@ -19,7 +19,7 @@ Edge = tuple[float, float, float, float]
 WGS84_A = 6378137.0
 WGS84_E2 = 0.0066943799901413165
 # Shortest length of one degree on the ellipsoid, for boxes that must not cut corners.
-_MIN_METERS_PER_DEGREE = 110_574.0
+MIN_METERS_PER_DEGREE = 110_574.0
 _KM_PER_DEGREE = 111.0
 
 EDGE_DDL = "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
@@ -42,10 +42,10 @@ def distance_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
 
 def radius_box(lon: float, lat: float, meters: float) -> tuple[float, float, float, float]:
     """Box (min_lon, min_lat, max_lon, max_lat) that certainly covers a circle."""
-    dlat = meters / _MIN_METERS_PER_DEGREE
+    dlat = meters / MIN_METERS_PER_DEGREE
     far_lat = min(abs(lat) + dlat, 90.0)
     shrink = math.cos(math.radians(far_lat))
-    dlon = 360.0 if shrink < 1e-6 else meters / (_MIN_METERS_PER_DEGREE * shrink)
+    dlon = 360.0 if shrink < 1e-6 else meters / (MIN_METERS_PER_DEGREE * shrink)
     return lon - dlon, lat - dlat, lon + dlon, lat + dlat
 
 

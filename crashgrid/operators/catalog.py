@@ -39,7 +39,7 @@ def sample_table(rows: DataFrame, limit: int = 10, order_by: str | None = None)
     if not 1 <= limit <= 100:
         raise ValueError(f"limit must be between 1 and 100, got {limit}")
     shown = [
-        F.concat(F.lit("<geometry: "), F.substring(F.col(c), 1, 50), F.lit("...>")).alias(c)
+        F.concat(F.lit("<geometry: "), F.substring(F.col(c).cast("string"), 1, 50), F.lit("...>")).alias(c)
         if c.lower() in GEOMETRY_COLUMNS
         else F.col(c)
         for c in rows.columns

@@ -233,7 +233,7 @@ def near_sites(
     Cells are one search distance tall, and a site is listed in every cell its search box
     touches, computed from its own latitude, so the result is exact anywhere.
     """
-    tall = meters / geo._MIN_METERS_PER_DEGREE
+    tall = meters / geo.MIN_METERS_PER_DEGREE
     far_lat = F.least(F.abs(F.col(site_lat)) + tall, F.lit(89.9))
     wide = F.lit(tall) / F.cos(F.radians(far_lat))
 
