@@ -36,7 +36,6 @@ RING = ((-87.80, 41.70), (-87.60, 41.70), (-87.60, 41.80), (-87.70, 41.80), (-87
         (-87.80, 41.95))
 GRID_BOX = (-87.9, 41.65, -87.55, 42.05)
 NEAR_METERS = 400.0
-TIME = "yyyy-MM-dd HH:mm:ss"
 
 QUERIES: dict[str, Query] = {}
 
@@ -50,7 +49,7 @@ def times_as_text(rows: DataFrame) -> DataFrame:
     """Timestamps as text, so that both engines print the same value."""
     return rows.select(
         *[
-            F.date_format(f.name, TIME).alias(f.name)
+            F.substring(F.col(f.name).cast("string"), 1, 19).alias(f.name)
             if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))
             else F.col(f.name)
             for f in rows.schema.fields
@@ -207,9 +206,9 @@ def _crash_feed(spark, sf) -> DataFrame:
     crashes = view(spark, sf, "fx_crashes")
     rows = crashes.select(
         "crash_record_id",
-        F.date_format("crash_date", "yyyy-MM-dd'T'HH:mm:ss").alias("crash_date"),
+        L.iso_text(F.col("crash_date")).alias("crash_date"),
         "injuries_total", "street_name",
-        F.date_format(F.date_add(F.col("crash_date").cast("date"), 3), "yyyy-MM-dd'T'HH:mm:ss")
+        L.iso_text(F.date_add(F.col("crash_date").cast("date"), 3).cast("timestamp_ntz"))
         .alias(feeds.UPDATED_AT),
     )
     return feeds.scan_feed(spark, _landed(spark, rows), "crashes")

@@ -46,10 +46,23 @@ def month_label(month: Column) -> Column:
 
 
 def iso_text(stamp: Column, separator: str = "T") -> Column:
-    """ISO 8601 text; microseconds appear only when there are any."""
-    seconds = F.date_format(stamp, f"yyyy-MM-dd'{separator}'HH:mm:ss")
-    micros = F.date_format(stamp, ".SSSSSS")
-    return F.concat(seconds, F.when(micros != ".000000", micros).otherwise(""))
+    """ISO 8601 text; microseconds appear only when there are any.
+
+    Built from the plain cast: formatting functions would first move a local timestamp
+    into the session time zone, where some local times do not exist.
+    """
+    text = stamp.cast("string")
+    fraction = F.substring(text, 21, 6)
+    return F.concat(
+        F.translate(F.substring(text, 1, 19), " ", separator),
+        F.when(fraction != "", F.concat(F.lit("."), F.rpad(fraction, 6, "0"))).otherwise(""),
+    )
+
+
+def month_text(stamp: str | Column) -> Column:
+    """'2024-01' of a local timestamp."""
+    column = F.col(stamp) if isinstance(stamp, str) else stamp
+    return F.substring(column.cast("string"), 1, 7)
 
 
 def first_number(text: Column) -> Column:
@@ -218,5 +231,10 @@ def _non_empty(column: str) -> Column:
 
 
 def duration_seconds(started: str = "started_at", completed: str = "completed_at") -> Column:
-    """Whole seconds between two timestamps."""
-    return F.timestamp_diff("SECOND", F.col(started), F.col(completed)).cast("int")
+    """Whole seconds between two local timestamps."""
+    elapsed = F.col(completed) - F.col(started)
+
+    def unit(name: str) -> Column:
+        return F.extract(F.lit(name), elapsed).cast("int")
+
+    return unit("DAY") * 86_400 + unit("HOUR") * 3_600 + unit("MINUTE") * 60 + unit("SECOND")

@@ -91,7 +91,7 @@ def weekly_trends(
     dated = crashes.where(F.col("crash_date").isNotNull() & P.in_dates("crash_date", start, end))
     weekly = dated.groupBy(week_start().alias("week_start")).agg(*counters())
     return weekly.orderBy("week_start").select(
-        F.date_format("week_start", "yyyy-MM-dd").alias("week"), "crashes", "injuries", "fatalities"
+        F.col("week_start").cast("string").alias("week"), "crashes", "injuries", "fatalities"
     )
 
 

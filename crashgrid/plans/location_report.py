@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crashgrid import schemas as S
 from crashgrid.functions import geo
 from crashgrid.functions import predicates as P
+from crashgrid.functions.labels import month_text
 from crashgrid.operators import spatial
 from crashgrid.operators.dashboard import (
     REPORT_POINTS,
@@ -298,7 +299,7 @@ class LocationReport:
         """Months of the last year before ``as_of``."""
         recent = self.crashes.where(F.col("crash_date") >= P.ntz(year_before(as_of)))
         return (
-            recent.groupBy(F.date_format("crash_date", "yyyy-MM").alias("month"))
+            recent.groupBy(month_text("crash_date").alias("month"))
             .agg(*counters())
             .orderBy("month")
         )

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crashgrid.functions.labels import month_text
 from crashgrid.functions.predicates import in_dates
 
 UNKNOWN_PART = "unknown"
@@ -31,7 +32,7 @@ Directory = tuple[str, str]
 
 def month_part(column: str = "crash_date") -> Column:
     """Partition value of a dated row; rows without a date share one partition."""
-    return F.coalesce(F.date_format(column, "yyyy-MM"), F.lit(UNKNOWN_PART))
+    return F.coalesce(month_text(column), F.lit(UNKNOWN_PART))
 
 
 class ConcurrentCommit(RuntimeError):
