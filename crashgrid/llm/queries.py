@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashgrid.llm.common import table
+from crashgrid.llm.minhash import near_duplicates
 from crashgrid.llm.mixing import mix
 from crashgrid.llm.quality_rules import quality_rules
 from crashgrid.llm.url_filters import url_filter
@@ -15,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=85)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad")
@@ -30,6 +35,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_minhash": op2_minhash,
     "op3_url_filters": op3_url_filters,
     "op7_mixing": op7_mixing,
 }
