@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashgrid.llm.common import table
 from crashgrid.llm.minhash import near_duplicates
 from crashgrid.llm.mixing import mix
+from crashgrid.llm.packing import pack_windows
 from crashgrid.llm.quality_rules import quality_rules
+from crashgrid.llm.substring_dedup import repeated_passages
+from crashgrid.llm.token_files import token_files
 from crashgrid.llm.url_filters import url_filter
 
 
@@ -27,15 +31,30 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), labels).drop("bad_rate", "bad_bound")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
     "op3_url_filters": op3_url_filters,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_mixing": op7_mixing,
+    "op9_token_files": op9_token_files,
+    "op10_packing": op10_packing,
 }
