@@ -12,6 +12,7 @@ from crashgrid.llm.mixing import mix
 from crashgrid.llm.packing import pack_windows
 from crashgrid.llm.quality_rules import quality_rules
 from crashgrid.llm.substring_dedup import repeated_passages
+from crashgrid.llm.suffix_dedup import repeated_strings
 from crashgrid.llm.token_files import token_files
 from crashgrid.llm.url_filters import url_filter
 
@@ -41,6 +42,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_mixing": op7_mixing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
 }

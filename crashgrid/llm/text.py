@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 
 # Fixed odd multipliers and their inverses modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
 
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _UPPER = np.arange(256, dtype=np.uint8)
@@ -80,10 +80,10 @@ class Words:
 
     def _hashes(self) -> np.ndarray:
         """Polynomial in the bytes from the word's start on, times its length's code."""
-        weighted = _BYTES[self.data] * powers(_BASE, len(self.data))
+        weighted = BYTES[self.data] * powers(BASE, len(self.data))
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(weighted, out=total[1:])
-        sums = (total[self.end] - total[self.start]) * powers(_BASE_INVERSE, len(self.data) + 1)[self.start]
+        sums = (total[self.end] - total[self.start]) * powers(BASE_INVERSE, len(self.data) + 1)[self.start]
         return mixed(sums + (self.end - self.start).astype(np.uint64))
 
     def runs(self, k: int) -> np.ndarray:
@@ -93,7 +93,7 @@ class Words:
             return np.zeros(0, np.uint64)
         total = self.hash[:n].copy()
         for j in range(1, k):
-            total *= np.uint64(_BASE)
+            total *= np.uint64(BASE)
             total += self.hash[j : j + n]
         return mixed(total)
 
