@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashgrid.llm.common import table
+from crashgrid.llm.language_id import identify, train
 from crashgrid.llm.minhash import near_duplicates
 from crashgrid.llm.mixing import mix
 from crashgrid.llm.packing import pack_windows
@@ -32,6 +33,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), labels).drop("bad_rate", "bad_bound")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
     "op3_url_filters": op3_url_filters,
+    "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_mixing": op7_mixing,
     "op8_suffix_dedup": op8_suffix_dedup,
