@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashgrid.llm.common import table
+from crashgrid.llm.fingerprints import fingerprints
 from crashgrid.llm.language_id import identify, train
 from crashgrid.llm.minhash import near_duplicates
 from crashgrid.llm.mixing import mix
@@ -42,6 +43,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
