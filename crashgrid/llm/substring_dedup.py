@@ -6,8 +6,8 @@
    documents. The first document of each recurring window holds it as part of a passage.
 3. Passages are compiled into sharded Aho-Corasick automata over words. Phrases are set so closely
    that every window of a passage contains one. Documents stream through the automata of the
-   shards they share an anchor with; every hit is extended word by word, and a match of a window
-   or more is a repeat.
+   shards that hold passages of theirs; every hit in such a passage is extended word by word, and
+   a match of a window or more is a repeat.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from crashgrid.llm.text import Words, sliding_min, slices
 WINDOW = 50
 
 PHRASE = 10  # words of an anchor, and of a phrase in the automata
-SHARD_WORDS = 4_000_000  # passage words of one shard
+SHARD_WORDS = 400_000  # passage words of one shard
 SLICE_CHARS = 8_000_000  # document text that meets a shard in one task
 
 
@@ -86,9 +86,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             words = Words(batch.column("text"))
-            anchors, first = _anchors(words), words.first
-            data = words.data.tobytes()
-            docs, texts, sizes, found = [], [], [], []
+            first, data = words.first, words.data.tobytes()
+            docs, texts, sizes = [], [], []
             for doc, marks, a, b in zip(
                 batch.column("doc_id").to_pylist(), batch.column("marks"), first[:-1], first[1:], strict=True
             ):
@@ -99,30 +98,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     docs.append(doc)
                     texts.append(data[words.start[low] : words.end[high - 1]])
                     sizes.append(high - low)
-                    found.append(np.unique(anchors[a + run]).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs, pa.int64()),
                     pa.array(texts, pa.binary()).cast(pa.string()),
                     pa.array(sizes, pa.int64()),
-                    pa.array(found, pa.list_(pa.int64())),
                 ],
-                ["first_doc", "passage", "size", "anchors"],
+                ["first_doc", "passage", "size"],
             )
 
 
 class Automaton:
-    """Aho-Corasick automaton over the words of passages."""
+    """Aho-Corasick automaton over the words of passages.
+
+    A phrase leads to the places where passages have it, by the document of the passage.
+    """
 
     def __init__(self, passages: pa.Array, docs: list[int]) -> None:
         words = Words(passages)
-        self.docs, self.hash, self.first = docs, words.hash, words.first
+        self.hash, self.first = words.hash, words.first.tolist()
         keys = (words.hash >> np.uint64(33)).tolist()
-        phrases: dict[tuple, list] = {}
-        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+        phrases: dict[tuple, dict[int, list]] = {}
+        for i, (doc, a, b) in enumerate(zip(docs, self.first[:-1], self.first[1:], strict=True)):
             last = b - PHRASE
             for at in [*range(a, last, WINDOW - PHRASE + 1), last] if last >= a else []:
-                phrases.setdefault(tuple(keys[at : at + PHRASE]), []).append((i, at))
+                places = phrases.setdefault(tuple(keys[at : at + PHRASE]), {})
+                places.setdefault(doc, []).append((i, at))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for phrase, places in phrases.items():
             self.automaton.add_word(phrase, places)
@@ -130,28 +131,27 @@ class Automaton:
             self.automaton.make_automaton()
         self.empty = not phrases
 
-    def repeats(self, doc: int, hashes: np.ndarray) -> np.ndarray:
-        """Which words of a document lie in a window that a passage of a smaller document has."""
+    def repeats(self, sources: list[int], hashes: np.ndarray) -> np.ndarray:
+        """Which words of a document lie in a window that a passage of the sources has."""
         covered = np.zeros(len(hashes), bool)
         if self.empty or len(hashes) < WINDOW:
             return covered
+        wanted = set(sources)
         for end, places in self.automaton.iter(tuple((hashes >> np.uint64(33)).tolist())):
             at = end - PHRASE + 1
-            near = covered[max(0, at + PHRASE - WINDOW) : at + WINDOW]
-            for passage, there in places:
-                if self.docs[passage] >= doc:
-                    continue
-                if near.all():
-                    break  # every window with this phrase is known to recur
-                low, high = int(self.first[passage]), int(self.first[passage + 1])
-                n = min(at, there - low)
-                differ = np.flatnonzero(hashes[at - n : at][::-1] != self.hash[there - n : there][::-1])
-                left = int(differ[0]) if len(differ) else n
-                n = min(len(hashes) - at, high - there)
-                differ = np.flatnonzero(hashes[at : at + n] != self.hash[there : there + n])
-                right = int(differ[0]) if len(differ) else n
-                if left + right >= WINDOW:
-                    covered[at - left : at + right] = True
+            for source in wanted & places.keys():
+                for passage, there in places[source]:
+                    if covered[max(0, at + PHRASE - WINDOW) : at + WINDOW].all():
+                        break  # every window with this phrase is known to recur
+                    low, high = self.first[passage], self.first[passage + 1]
+                    n = min(at, there - low)
+                    differ = np.flatnonzero(hashes[at - n : at][::-1] != self.hash[there - n : there][::-1])
+                    left = int(differ[0]) if len(differ) else n
+                    n = min(len(hashes) - at, high - there)
+                    differ = np.flatnonzero(hashes[at : at + n] != self.hash[there : there + n])
+                    right = int(differ[0]) if len(differ) else n
+                    if left + right >= WINDOW:
+                        covered[at - left : at + right] = True
         return covered
 
 
@@ -166,10 +166,15 @@ def _locate(passages: pa.Table, docs: pa.Table) -> pa.Table:
         for part in slices(batch, "text"):
             words = Words(part.column("text"))
             texts = part.column("text").cast(pa.large_binary()).to_pylist()
-            for doc, text, a, b in zip(
-                part.column("doc_id").to_pylist(), texts, words.first[:-1], words.first[1:], strict=True
+            for doc, sources, text, a, b in zip(
+                part.column("doc_id").to_pylist(),
+                part.column("sources").to_pylist(),
+                texts,
+                words.first[:-1],
+                words.first[1:],
+                strict=True,
             ):
-                covered = automaton.repeats(doc, words.hash[a:b])
+                covered = automaton.repeats(sources, words.hash[a:b])
                 if covered.any():
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
                     ids.append(doc)
@@ -237,36 +242,34 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .where("_low < _high").select("anchor"),
         "recurring",
     )
-    places = stored(anchored.join(recurring, "anchor"), "places")
-    mine = places.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    mine = anchored.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     texts = stored(rows.join(mine, "doc_id"), "candidates")
 
     windows = texts.mapInArrow(_windows, "window long, doc_id long, pos int")
     heads = windows.groupBy("window").agg(
-        F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.min_by("pos", "doc_id").alias("pos")
-    )
-    heads = stored(heads.where("_first < _last").select(F.col("_first").alias("doc_id"), "pos"), "heads")
-    marks = heads.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
-    passages = stored(
-        texts.drop("anchors").join(marks, "doc_id").mapInArrow(_cut, "first_doc long, passage string, size long, anchors array<long>"),
-        "passages",
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last"), F.min_by("pos", "doc_id").alias("pos")
     )
+    heads = stored(heads.where("first_doc < _last").drop("_last"), "heads")
+    marks = heads.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list("pos").alias("marks"))
+    passages = texts.drop("anchors").join(marks, "doc_id")
+    passages = stored(passages.mapInArrow(_cut, "first_doc long, passage string, size long"), "passages")
+    sources = windows.select("window", "doc_id").join(heads.drop("pos"), "window").where("first_doc < doc_id")
+    sources = stored(sources.select("doc_id", "first_doc").distinct(), "sources")
 
     total = passages.agg(F.sum("size")).first()[0] or 0
     shards = -(-total // SHARD_WORDS) or 1
-    shard = F.pmod(F.xxhash64("first_doc"), F.lit(shards)).cast("int")
-    routes = passages.select(shard.alias("shard"), "first_doc", F.explode("anchors").alias("anchor"))
-    routes = stored(routes.groupBy("anchor", "shard").agg(F.min("first_doc").alias("first_doc")), "routes")
-    routes = places.join(routes, "anchor").where("first_doc < doc_id").select("doc_id", "shard").distinct()
-    routed = stored(
-        routes.join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id"), "routed"
+    shard = F.pmod(F.xxhash64("first_doc"), F.lit(shards)).cast("int").alias("shard")
+    routed = sources.select("doc_id", "first_doc", shard).groupBy("doc_id", "shard").agg(
+        F.collect_list("first_doc").alias("sources")
     )
+    routed = stored(routed.join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id"), "routed")
     counts = routed.groupBy("shard").agg(F.ceil(F.sum("chars") / SLICE_CHARS).cast("int").alias("slices"))
     counts = stored(counts, "slices")
-    sliced = routed.join(F.broadcast(counts), "shard") if shards <= 100_000 else routed.join(counts, "shard")
-    sliced = sliced.select("doc_id", "shard", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice"))
-    there = texts.select("doc_id", "text").join(sliced, "doc_id").select("shard", "slice", "doc_id", "text")
-    patterns = passages.select(shard.alias("shard"), "first_doc", "passage").join(counts, "shard").select(
+    sliced = routed.join(counts, "shard").select(
+        "doc_id", "shard", "sources", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice")
+    )
+    there = texts.select("doc_id", "text").join(sliced, "doc_id").select("shard", "slice", "doc_id", "sources", "text")
+    patterns = passages.select(shard, "first_doc", "passage").join(counts, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "first_doc", "passage"
     )
     spans = patterns.groupBy("shard", "slice").cogroup(there.groupBy("shard", "slice")).applyInArrow(_locate, _SPANS)
