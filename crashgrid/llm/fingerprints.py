@@ -118,9 +118,11 @@ def differing(pairs: DataFrame, key: list[str], cells: int = CELLS) -> DataFrame
     """How many digests the sketches of ``a`` and ``b`` (arrays of digests) differ in.
 
     ``pairs`` has ``key``, ``a`` and ``b``. Returns ``key`` and ``differing``. Pairs whose sketches
-    cannot be peeled go on to sketches ``GROWTH`` times as large, until none is left.
+    cannot be peeled go on to sketches ``GROWTH`` times as large, until none is left. They are few
+    but slow, so they are dealt out anew.
     """
     done, rest = None, pairs
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         tried = rest.select(*key, "a", "b", subtract(sketch(F.col("a"), cells), sketch(F.col("b"), cells)).alias("_d"))
         tried = stored(tried.select(*key, "a", "b", peel(F.col("_d"), cells).alias("differing")), "peeled")
@@ -129,7 +131,7 @@ def differing(pairs: DataFrame, key: list[str], cells: int = CELLS) -> DataFrame
         rest = tried.where(F.col("differing").isNull()).drop("differing")
         if not rest.take(1):
             return done
-        cells *= GROWTH
+        rest, cells = rest.repartition(tasks), cells * GROWTH
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
