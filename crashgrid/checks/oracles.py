@@ -131,11 +131,11 @@ WHERE longitude BETWEEN {GRID_BOX[0]}e0 AND {GRID_BOX[2]}e0
 
 add("map_layer_crashes", ("fx_crashes",), f"""
 SELECT crash_record_id, {text_time('crash_date')} AS crash_date, injuries_total, injuries_fatal,
- injuries_incapacitating, hit_and_run_i, crash_type, street_name, prim_contributory_cause
-FROM fx_crashes""")
+ injuries_incapacitating, hit_and_run_i, crash_type, street_name, prim_contributory_cause,
+ NULL::VARCHAR AS most_severe_injury, NULL::VARCHAR AS dooring_i FROM fx_crashes""")
 add("map_layer_fatalities", ("fx_fatalities",), f"""
-SELECT person_id, {text_time('crash_date')} AS crash_date, victim FROM fx_fatalities""")
-
+SELECT person_id, {text_time('crash_date')} AS crash_date, victim,
+ NULL::VARCHAR AS crash_location, NULL::VARCHAR AS crash_circumstances FROM fx_fatalities""")
 add("map_layer_features", ("fx_layer_features",), "SELECT layer_id, properties FROM fx_layer_features")
 
 add("table_counts", ("fx_crashes", "fx_people", "fx_vehicles", "fx_fatalities"), """
@@ -251,8 +251,8 @@ CHECKED = """, v AS (SELECT ingest_seq,
  concat_ws('; ', CASE WHEN coalesce(crash_record_id, '') = '' THEN 'Missing required field: crash_record_id' END,
   CASE WHEN coalesce(crash_date, '') = '' THEN 'Missing required field: crash_date' END) AS errors,
  CASE WHEN coalesce(latitude, '') = '' OR coalesce(longitude, '') = '' THEN '' ELSE concat_ws('; ',
-  CASE WHEN lat <> 0 AND (lat < 41.6e0 OR lat > 42.1e0) THEN concat('Latitude ', CAST(lat AS VARCHAR), ' outside Chicago bounds') END,
-  CASE WHEN lon <> 0 AND (lon < -87.95e0 OR lon > -87.5e0) THEN concat('Longitude ', CAST(lon AS VARCHAR), ' outside Chicago bounds') END)
+  CASE WHEN lat IS NULL THEN concat('Latitude ', latitude, ' is not a number') WHEN lat <> 0 AND (lat < 41.6e0 OR lat > 42.1e0) THEN concat('Latitude ', CAST(lat AS VARCHAR), ' outside Chicago bounds') END,
+  CASE WHEN lon IS NULL THEN concat('Longitude ', longitude, ' is not a number') WHEN lon <> 0 AND (lon < -87.95e0 OR lon > -87.5e0) THEN concat('Longitude ', CAST(lon AS VARCHAR), ' outside Chicago bounds') END)
  END AS warnings
  FROM (SELECT *, TRY_CAST(trim(latitude) AS DOUBLE) AS lat, TRY_CAST(trim(longitude) AS DOUBLE) AS lon
        FROM fx_raw_crashes) x)"""
@@ -627,11 +627,9 @@ WHERE f.crash_date >= TIMESTAMP '{AS_OF}' - INTERVAL 1800 DAY""")
 add("vehicle_occupants", ("fx_crashes", "fx_people", "fx_vehicles"), f"""
 , v AS (SELECT * FROM fx_vehicles JOIN (SELECT crash_record_id, crash_date, prim_contributory_cause FROM fx_crashes
  WHERE crash_date >= DATE '2001-08-01' - INTERVAL 180 DAY) c USING (crash_record_id)),
- o AS (SELECT vehicle_id, concat('[', string_agg(concat('{{"person_id":"', person_id, '","person_type":',
-  CASE WHEN person_type IS NULL THEN 'null' ELSE concat('"', person_type, '"') END, ',"injury":',
-  CASE WHEN injury_classification IS NULL THEN 'null' ELSE concat('"', injury_classification, '"') END, '}}'),
-  ',' ORDER BY person_type NULLS LAST, person_id), ']') AS occupants FROM fx_people GROUP BY 1)
+ o AS (SELECT vehicle_id, person_type, person_id, injury_classification FROM fx_people)
 SELECT crash_record_id, {text_time('crash_date')} AS crash_date, prim_contributory_cause, vehicle_id, unit_type,
- CAST(0 AS INT) AS list_no,
- coalesce(occupants, '[{{"person_id":null,"person_type":null,"injury":null}}]') AS occupants
+ person_type, person_id, concat('{{"person_id":', coalesce('"' || person_id || '"', 'null'), ',"person_type":',
+  coalesce('"' || person_type || '"', 'null'), ',"injury":',
+  coalesce('"' || injury_classification || '"', 'null'), '}}') AS occupant
 FROM v LEFT JOIN o USING (vehicle_id)""")

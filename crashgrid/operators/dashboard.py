@@ -11,10 +11,8 @@ from crashgrid import schemas as S
 from crashgrid.functions import predicates as P
 from crashgrid.functions.geo import in_box
 
-MAX_MAP_POINTS = 50_000
 DEFAULT_MAP_POINTS = 10_000
 REPORT_POINTS = 5_000
-MAX_CAUSES = 50
 
 
 def total(column: str) -> Column:
@@ -106,11 +104,10 @@ def crashes_by_cause(
     crashes: DataFrame,
     start: datetime | None = None,
     end: datetime | None = None,
-    limit: int = 10,
+    limit: int | None = 10,
 ) -> DataFrame:
-    """Leading causes by crash count; blank causes are left out, ties go by name."""
-    if not 0 < limit <= MAX_CAUSES:
-        raise ValueError(f"limit must be between 1 and {MAX_CAUSES}, got {limit}")
+    """Leading causes by crash count, all for no limit; blank causes are left out, ties go by name."""
+    _positive(limit)
     cause = F.col("prim_contributory_cause")
     named = crashes.where(
         cause.isNotNull() & (cause != "") & P.in_dates("crash_date", start, end)
@@ -119,17 +116,26 @@ def crashes_by_cause(
         named.groupBy(cause.alias("cause"))
         .agg(*counters())
         .orderBy(F.desc("crashes"), "cause")
-        .limit(limit)
+        .transform(lambda rows: _top(rows, limit))
     )
 
 
-def newest_points(crashes: DataFrame, limit: int) -> DataFrame:
-    """Map columns of the newest located crashes; undated rows lead, as newest."""
+def _positive(limit: int | None) -> None:
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be at least 1, got {limit}")
+
+
+def _top(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
+def newest_points(crashes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Map columns of the newest located crashes, all for no limit; undated rows lead, as newest."""
     return (
         crashes.where(P.has_point())
         .select(*S.MAP_POINT_COLUMNS, "longitude", "latitude")
         .orderBy(F.desc_nulls_first("crash_date"), "crash_record_id")
-        .limit(limit)
+        .transform(lambda rows: _top(rows, limit))
     )
 
 
@@ -137,11 +143,10 @@ def crash_points(
     crashes: DataFrame,
     start: datetime | None = None,
     end: datetime | None = None,
-    limit: int = DEFAULT_MAP_POINTS,
+    limit: int | None = DEFAULT_MAP_POINTS,
 ) -> DataFrame:
     """Newest located crashes of a date range."""
-    if not 1 <= limit <= MAX_MAP_POINTS:
-        raise ValueError(f"limit must be between 1 and {MAX_MAP_POINTS}, got {limit}")
+    _positive(limit)
     return newest_points(crashes.where(P.in_dates("crash_date", start, end)), limit)
 
 
@@ -169,8 +174,10 @@ def category_counts(crashes: DataFrame, metric: str) -> DataFrame:
 
 
 def map_layer(rows: DataFrame, table: str) -> DataFrame:
-    """Columns a map layer exposes."""
-    return rows.select(*[c for c in S.MAP_LAYER_COLUMNS[table] if c in rows.columns])
+    """Columns a map layer exposes; those the rows lack are null text."""
+    return rows.select(
+        *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in S.MAP_LAYER_COLUMNS[table]]
+    )
 
 
 def coordinate_outliers(crashes: DataFrame) -> DataFrame:

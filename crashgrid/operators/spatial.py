@@ -231,8 +231,12 @@ def near_sites(
     """Pairs of point and site no further apart than ``meters``, with their distance.
 
     Cells are one search distance tall, and a site is listed in every cell its search box
-    touches, computed from its own latitude, so the result is exact anywhere.
+    touches, computed from its own latitude, so the result is exact anywhere. Distances are
+    computed for short ranges, so the search distance is limited like a report's radius.
     """
+    longest = S.MAX_RADIUS_FEET * S.FEET_TO_METERS
+    if not 0 < meters <= longest:
+        raise ValueError(f"meters must be in (0, {longest:g}], got {meters}")
     tall = meters / geo.MIN_METERS_PER_DEGREE
     far_lat = F.least(F.abs(F.col(site_lat)) + tall, F.lit(89.9))
     wide = F.lit(tall) / F.cos(F.radians(far_lat))

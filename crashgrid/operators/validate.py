@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crashgrid import schemas as S
+from crashgrid.functions import cleaning as C
 from crashgrid.operators.sanitize import sanitize
 
 
@@ -24,11 +25,14 @@ def _missing(rows: DataFrame, field: str) -> Column:
 
 
 def _coordinate_warning(name: str, column: str, low: float, high: float) -> Column:
-    value = F.col(column).try_cast("double")
-    text = F.concat(
-        F.lit(f"{name} "), value.cast("string"), F.lit(f" outside {S.BOUNDS_AREA} bounds")
+    """A number out of bounds, or text that is no number; NaN compares with nothing."""
+    given = F.col(column).cast("string")
+    value = C.clean_float(given)
+    outside = F.concat(F.lit(f"{name} "), value.cast("string"), F.lit(f" outside {S.BOUNDS_AREA} bounds"))
+    unread = F.concat(F.lit(f"{name} "), given, F.lit(" is not a number"))
+    return F.when(value.isNull() & given.isNotNull(), unread).when(
+        ~F.isnan(value) & (value != 0) & ((value < low) | (value > high)), outside
     )
-    return F.when((value != 0) & ((value < low) | (value > high)), text)
 
 
 def _bounds_warnings(rows: DataFrame) -> Column:

@@ -5,15 +5,18 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crashgrid.operators.joins import fits_broadcast
+
 DOCUMENT_DDL = (
     "type STRING, features ARRAY<STRUCT<geometry: STRING, properties: STRING>>, "
     "_corrupt_record STRING"
 )
-# Feature numbers of a document start at this multiple of the document number.
+# Feature numbers of a document start at this multiple of the document number, which counts files by
+# path and documents within a file from 0.
 _DOCUMENT_STRIDE = 1_000_000_000
 
 
@@ -27,15 +30,32 @@ def read_documents(spark: SparkSession, path: str, multiline: bool = True) -> Da
     """GeoJSON documents with geometry and properties kept as JSON text.
 
     One document per file by default; ``multiline=False`` reads one document per line,
-    which Spark can split.
+    which Spark can split. Documents are numbered by file path and place in the file, whatever the
+    split: rows are counted per file and read task, and only these counts are summed up.
     """
-    return (
+    read = (
         spark.read.schema(DOCUMENT_DDL)
         .option("multiLine", str(multiline).lower())
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
-        .withColumn("document", F.monotonically_increasing_id())
+        .withColumns(
+            {
+                "_file": F.col("_metadata.file_path"),
+                "_block": F.col("_metadata.file_block_start"),
+                "_row": F.monotonically_increasing_id(),
+            }
+        )
+    )
+    blocks = read.groupBy("_file", "_block").agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.max("type").alias("_type")
+    )
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "_file", "_block", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
+    blocks = F.broadcast(blocks) if fits_broadcast(blocks) else blocks
+    numbered = read.join(blocks, ["_file", "_block"])
+    return numbered.withColumn("document", F.col("_row") + F.col("_shift")).drop("_file", "_block", "_row", "_shift")
 
 
 def all_features(documents: DataFrame) -> DataFrame:

@@ -146,3 +146,26 @@ def test_jobs(spark, folder):
     assert (stored["duration_seconds"], stored["records_processed"]) == (59, 4)
     with pytest.raises(ValueError):
         jobs.job_history(runs, registry, limit=201)
+
+
+def test_features_keep_their_numbers_over_many_files(spark, folder):
+    """Numbers follow the file and the place in it, however many files an upload has."""
+    import json
+
+    from crashgrid.sources import geojson
+
+    made = [
+        json.dumps({"type": "FeatureCollection", "features": [
+            {"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 0]}, "properties": {"n": str(i)}}]})
+        for i in range(40)
+    ]
+    lines = spark.createDataFrame(list(enumerate(made)), "i int, value string")
+    lines.repartitionByRange(16, "i").sortWithinPartitions("i").select("value").write.text(folder)
+    rows = geojson.all_features(geojson.read_documents(spark, folder, multiline=False)).orderBy("id").collect()
+    assert [json.loads(r["properties"])["n"] for r in rows] == [str(i) for i in range(40)]
+    assert [r["id"] for r in rows] == [i * 1_000_000_000 + 1 for i in range(40)]
+    one_each = f"{folder}-files"
+    lines.where("i < 8").repartitionByRange(8, "i").select("value").write.text(one_each)
+    upload = geojson.read_upload(spark, one_each)
+    assert upload.feature_count == 8
+    assert [r["id"] for r in upload.features.orderBy("id").collect()] == [i * 1_000_000_000 + 1 for i in range(8)]
