@@ -121,8 +121,9 @@ def near_duplicates(
     is kept. Null and empty texts are linked with nothing. Documents with equal sets are one class
     from the start; repeated rows of one ``doc_id`` are the same document.
 
-    Candidates share a band. Within a band every class is compared with the band's smallest one;
-    these links already join most groups, so a group of thousands costs thousands of comparisons.
+    Candidates share a band. Every class is compared with the smallest class of any of its bands,
+    then with the smallest of each band that is not yet in its component; these links already join
+    most groups, so a group of thousands costs thousands of comparisons.
     What is left in a band outside that component is compared across components. As Jaccard
     distance obeys the triangle inequality, pairs whose distances from the band's smallest class
     differ too much need no look. No candidate is capped or dropped.
@@ -141,14 +142,17 @@ def near_duplicates(
         "leaders",
     )
     members = stored(members.join(leaders, "band").withColumnRenamed("id", "b"), "members")
-    pairs = stored(members.where("a <> b").select("a", "b").distinct(), "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    wanted = stored(members.select(F.col("b").alias("doc_id")).distinct(), "wanted")
     sets = rows.join(wanted, "doc_id", "left_semi")
     if _repeats(signed):
         sets = sets.dropDuplicates(["doc_id"])
     sets = stored(sets.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    compared = stored(_compare(pairs, sets), "compared")
     near = (100 * F.col("both")) >= similarity * (F.col("size_a") + F.col("size_b") - F.col("both"))
+    first = members.where("a <> b").groupBy("b").agg(F.min("a").alias("a"))
+    compared = stored(_compare(first, sets), "compared")
+    groups = components(compared.where(near).select("a", "b"))
+    apart = stored(_apart(members, groups).join(compared.select("a", "b"), ["a", "b"], "left_anti"), "apart")
+    compared = stored(compared.unionByName(_compare(apart, sets)), "compared")
     links = compared.where(near).select("a", "b")
     groups = components(links)
 
@@ -165,6 +169,15 @@ def near_duplicates(
     )
 
 
+def _apart(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of a class and the smallest of one of its bands that are in different components."""
+    pairs = members.where("a <> b").select("a", "b").distinct()
+    of_a = groups.select(F.col("id").alias("a"), F.col("component").alias("_ca"))
+    of_b = groups.select(F.col("id").alias("b"), F.col("component").alias("_cb"))
+    pairs = pairs.join(of_b, "b", "left").join(of_a, "a", "left")
+    return pairs.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+
+
 def _repeats(signed: DataFrame) -> bool:
     """Does a ``doc_id`` come twice?"""
     return bool(signed.groupBy("doc_id").count().where("count > 1").take(1))
@@ -183,7 +196,7 @@ def _between(members: DataFrame, groups: DataFrame, compared: DataFrame, similar
     )
     distance = 1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))
     far = compared.select("a", "b", distance.alias("far"), F.col("size_b").alias("size"))
-    left = stored(named.join(mixed_bands, "band", "left_semi").where("a <> b").join(far, ["a", "b"]), "left-over")
+    left = stored(named.join(mixed_bands, "band", "left_semi").where("a <> b").join(far, ["a", "b"], "left"), "left-over")
     one, two = left.alias("x"), left.alias("y")
     reach = 1 - similarity / 100 + 1e-9
     pairs = one.join(
@@ -191,7 +204,7 @@ def _between(members: DataFrame, groups: DataFrame, compared: DataFrame, similar
         (F.col("x.band") == F.col("y.band"))
         & (F.col("x.b") < F.col("y.b"))
         & (F.col("x.component") != F.col("y.component"))
-        & (F.abs(F.col("x.far") - F.col("y.far")) <= reach)
-        & (100 * F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")),
+        & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= reach, F.lit(True))
+        & F.coalesce(100 * F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"), F.lit(True)),
     )
     return stored(pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct(), "between")
