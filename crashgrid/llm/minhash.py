@@ -26,6 +26,7 @@ ROWS, BANDS = 7, 28  # two values per permutation: 98 permutations; a pair at 85
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, ROWS * BANDS // 2), dtype=np.uint64)
 _FACTORS, _SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 _CHUNK = 1024
+PARITY_LONGS = 16  # a set's parity map: for each of 1024 cells, whether an odd number of shingles falls there
 
 
 def shingle_sets(words: Words, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -86,15 +87,31 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Parity map of a set. Two maps differ in at most as many bits as the sets in shingles."""
+    cells = 64 * PARITY_LONGS
+    at = (shingles * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells) & 1 == 1).view(np.int64)
+
+
+_SETS = "id long, shingles array<long>, parity array<long>"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = list(shingle_sets(Words(batch.column("text"), lower=True)))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            maps = np.concatenate([*map(parity, sets), np.zeros(0, np.int64)])
+            steps = np.arange(len(sets) + 1, dtype=np.int32) * PARITY_LONGS
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                ["id", "shingles"],
+                [
+                    batch.column("doc_id"),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(steps), pa.array(maps)),
+                ],
+                ["id", "shingles", "parity"],
             )
 
 
@@ -124,9 +141,10 @@ def near_duplicates(
     Candidates share a band. Every class is compared with the smallest class of any of its bands,
     then with the smallest of each band that is not yet in its component; these links already join
     most groups, so a group of thousands costs thousands of comparisons.
-    What is left in a band outside that component is compared across components. As Jaccard
-    distance obeys the triangle inequality, pairs whose distances from the band's smallest class
-    differ too much need no look. No candidate is capped or dropped.
+    What is left in a band outside that component is compared across components. Bounds that never
+    rule out a link spare most of these: sizes, distances from the band's smallest class (Jaccard
+    distance obeys the triangle inequality), and parity maps, which differ in no more bits than the
+    sets in shingles. No candidate is capped or dropped.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored(rows.mapInArrow(_sign, _SIGNED), "signatures")
@@ -146,7 +164,7 @@ def near_duplicates(
     sets = rows.join(wanted, "doc_id", "left_semi")
     if _repeats(signed):
         sets = sets.dropDuplicates(["doc_id"])
-    sets = stored(sets.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    sets = stored(sets.mapInArrow(_sets, _SETS), "sets")
     near = (100 * F.col("both")) >= similarity * (F.col("size_a") + F.col("size_b") - F.col("both"))
     first = members.where("a <> b").groupBy("b").agg(F.min("a").alias("a"))
     compared = stored(_compare(first, sets), "compared")
@@ -156,7 +174,7 @@ def near_duplicates(
     links = compared.where(near).select("a", "b")
     groups = components(links)
 
-    rest = _between(members, groups, compared, similarity)
+    rest = _between(members, groups, compared, sets, similarity)
     if rest.take(1):
         more = stored(_compare(rest, sets).where(near).select("a", "b"), "more")
         groups = components(links.unionByName(more))
@@ -183,7 +201,9 @@ def _repeats(signed: DataFrame) -> bool:
     return bool(signed.groupBy("doc_id").count().where("count > 1").take(1))
 
 
-def _between(members: DataFrame, groups: DataFrame, compared: DataFrame, similarity: int) -> DataFrame:
+def _between(
+    members: DataFrame, groups: DataFrame, compared: DataFrame, sets: DataFrame, similarity: int
+) -> DataFrame:
     """Candidate pairs of one band in different components that could still be near."""
     named = members.join(groups.withColumnRenamed("id", "b"), "b", "left").withColumn(
         "component", F.coalesce("component", "b")
@@ -195,16 +215,20 @@ def _between(members: DataFrame, groups: DataFrame, compared: DataFrame, similar
         "mixed-bands",
     )
     distance = 1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))
-    far = compared.select("a", "b", distance.alias("far"), F.col("size_b").alias("size"))
-    left = stored(named.join(mixed_bands, "band", "left_semi").where("a <> b").join(far, ["a", "b"], "left"), "left-over")
+    far = compared.select("a", "b", distance.alias("far"))
+    left = named.join(mixed_bands, "band", "left_semi").where("a <> b").join(far, ["a", "b"], "left")
+    maps = sets.select(F.col("id").alias("b"), F.size("shingles").alias("size"), "parity")
+    left = stored(left.join(maps, "b"), "left-over")
     one, two = left.alias("x"), left.alias("y")
     reach = 1 - similarity / 100 + 1e-9
+    differ = sum(F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITY_LONGS))
     pairs = one.join(
         two,
         (F.col("x.band") == F.col("y.band"))
         & (F.col("x.b") < F.col("y.b"))
         & (F.col("x.component") != F.col("y.component"))
         & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= reach, F.lit(True))
-        & F.coalesce(100 * F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"), F.lit(True)),
+        & (100 * F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"))
+        & (differ * (100 + similarity) <= (F.col("x.size") + F.col("y.size")) * (100 - similarity)),
     )
     return stored(pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct(), "between")
