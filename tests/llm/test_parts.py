@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from crashgrid.llm.minhash import parity
 from crashgrid.llm.packing import difference, windows
 from crashgrid.llm.suffix_sort import common, deep_shallow_sort, reach
 from crashgrid.llm.text import Words
@@ -107,3 +108,10 @@ def test_words_of_a_batch(texts):
     for word, h in zip(found, words.hash.tolist(), strict=True):
         assert by_hash.setdefault(word, h) == h
     assert len(set(by_hash.values())) == len(by_hash)
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_parity_maps_differ_in_no_more_bits_than_sets_in_members(shared, one, two):
+    a, b = shared | one, shared | two
+    maps = [parity(np.array(sorted(s), np.uint64)) for s in (a, b)]
+    assert int(np.bitwise_count((maps[0] ^ maps[1]).view(np.uint64)).sum()) <= len(a ^ b)
