@@ -20,16 +20,19 @@ from crashgrid.llm.text import slices
 # Letters that need neither normalising nor splitting, so that a word of them is one pre-token.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _LETTERS_THEN_MARK = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])").fullmatch
-_OTHER_SPACE = re.compile(r"[^\S \n]").search
+_NO_CUT = re.compile(r"[^\S \n]|\0").search
 _SPACE_RUN = re.compile(r"[ \n][ \n]|[ \n]\Z").search
 _UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 _BYTE_LETTERS = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else "" for b in range(256)}
 for _n, _b in enumerate(b for b in range(256) if not _BYTE_LETTERS[b]):
     _BYTE_LETTERS[_b] = chr(256 + _n)
 
-# What the cut at single spaces and newlines does not cover: runs, ends, and any other white space.
+# A mark after a letter begins a new pre-token in both vocabularies.
+_MARK = "([A-Za-z])([.,;:!?])"
+
+# What the cut at single spaces and newlines does not cover: runs, ends, any other white space, NUL.
 _UNEVEN = (
-    r"[ \n][ \n]|[ \n]\z|[\t\r\v\f\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"[ \n][ \n]|[ \n]\z|[\x00\t\r\v\f\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
 MAX_CACHED = 400_000
@@ -95,7 +98,7 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if not self.spaced:
             return b"".join([self[u] for u in text.replace("\n", " ").split(" ")])
-        if _OTHER_SPACE(text):
+        if _NO_CUT(text):
             return self._full(text)
         if _SPACE_RUN(text):
             return b"".join([self._run(u) for u in _UNITS(text)])
@@ -128,10 +131,13 @@ class Encoder(dict):
         if self.spaced:
             odd = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
             even = pc.if_else(pa.array(odd), "", texts)
-            cut = pc.replace_substring(pc.binary_join_element_wise("", even, "\0"), "\n", " \n")
+            cut = pc.replace_substring_regex(even, _MARK, "\\1 \0\\2")
+            cut = pc.replace_substring(pc.binary_join_element_wise("", cut, "\0"), "\n", " \n")
         else:
             odd = np.zeros(len(texts), bool)
-            cut = pc.replace_substring(texts, "\n", " ")
+            special = pc.match_substring(texts, "<|")  # names of special tokens are told by their case
+            cut = pc.if_else(special, texts, pc.ascii_lower(texts))
+            cut = pc.replace_substring(pc.replace_substring_regex(cut, _MARK, r"\1 \2"), "\n", " ")
         units = pc.split_pattern(cut.cast(pa.large_string()), " ")
         bounds = units.offsets.to_numpy()
         coded = pc.dictionary_encode(units.flatten())
