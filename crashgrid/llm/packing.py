@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crashgrid.llm.tokens import Encoder, encoded
+from crashgrid.llm.tokens import encoded, encoder_of
 
 # Fixed values of the contract.
 CAPACITY = 2048
@@ -133,7 +133,7 @@ class _Packer:
 
 def _pack(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, spaced=True)
+        encoder = encoder_of(path, spaced=True)
         packer = _Packer(TaskContext.get().partitionId(), capacity)
         for doc, ids in encoded(batches, encoder, END):
             packer.add(doc, ids)

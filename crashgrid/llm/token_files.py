@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crashgrid.llm.tokens import Encoder, encoded
+from crashgrid.llm.tokens import encoded, encoder_of
 from crashgrid.session import new_folder
 
 SHARD_TOKENS = 1 << 20
@@ -155,7 +155,7 @@ _FILES = "part int, shard int, first_doc long, docs long, tokens long, data bina
 
 def _write(path: str, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, spaced=False)
+        encoder = encoder_of(path, spaced=False)
         part, shard = TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         docs: list[int | None] = []

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tokenizers
 from tokenizers import Tokenizer
 
 from crashgrid.llm.text import slices
@@ -154,6 +155,18 @@ class Encoder(dict):
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def encoder_of(path: str, spaced: bool) -> Encoder:
+    """The encoder of this worker process, with the pieces its earlier tasks met.
+
+    This package travels with each task, so its own globals last for one task only; what is to
+    last longer hangs on an installed module.
+    """
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if (path, spaced) not in kept:
+        kept[path, spaced] = Encoder(path, spaced)
+    return kept[path, spaced]
+
+
 def _gather(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``flat`` (of the given sizes, one after the other) in the given order."""
     counts = sizes[order]
