@@ -361,6 +361,10 @@ SELECT crash_record_id, {text_time('crash_date')} AS crash_date, street_name, la
  signal_id, signal_street, round({SITE_METERS}, 2) AS distance_meters
 FROM fx_crashes, fx_sites WHERE longitude IS NOT NULL AND {SITE_METERS} <= {NEAR_METERS}e0
 ORDER BY fx_crashes.crash_date DESC, crash_record_id, signal_id LIMIT 1000""")
+add("all_crashes_near_sites", ("fx_crashes", "fx_sites"), f"""
+SELECT crash_record_id, {text_time('crash_date')} AS crash_date, street_name, latitude, longitude,
+ signal_id, signal_street, round({SITE_METERS}, 2) AS distance_meters
+FROM fx_crashes, fx_sites WHERE longitude IS NOT NULL AND {SITE_METERS} <= {NEAR_METERS}e0""")
 add("radius_area", ("fx_sites",), """
 SELECT signal_id, CAST(n AS INT) AS n,
  round(site_longitude + 1e0 / (111e0 * cos(radians(site_latitude))) * cos((n % 64) / 64e0 * 2e0 * pi()), 9) AS lon,

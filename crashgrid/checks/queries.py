@@ -151,7 +151,7 @@ def crash_density_grid(spark, sf):
 
 @query
 def crashes_by_date_range(spark, sf):
-    rows = dashboard.crash_points(view(spark, sf, "fx_crashes"), START, END, limit=50_000)
+    rows = dashboard.crash_points(view(spark, sf, "fx_crashes"), START, END, limit=None)
     return times_as_text(rows.select("crash_record_id", "crash_date", "longitude", "latitude"))
 
 
@@ -427,22 +427,37 @@ def nearest_place(spark, sf):
     return nearest.withColumn("distance", F.round("distance", 9))
 
 
-@query
-def crashes_near_sites(spark, sf):
+def _near_sites(spark, sf) -> DataFrame:
     crashes = view(spark, sf, "fx_crashes").select(
         "crash_record_id", "crash_date", "street_name", "latitude", "longitude"
     )
-    pairs = spatial.near_sites(
+    return spatial.near_sites(
         crashes, view(spark, sf, "fx_sites"), NEAR_METERS, spread_by=["crash_record_id"]
     )
-    newest = pairs.orderBy(F.desc("crash_date"), "crash_record_id", "signal_id").limit(1000)
+
+
+def _near_site_columns(pairs: DataFrame) -> DataFrame:
     return times_as_text(
-        newest.select("crash_record_id", "crash_date", "street_name", "latitude", "longitude",
-                      "signal_id", "signal_street",
-                      F.round("distance_meters", 2).alias("distance_meters"))
+        pairs.select("crash_record_id", "crash_date", "street_name", "latitude", "longitude",
+                     "signal_id", "signal_street",
+                     F.round("distance_meters", 2).alias("distance_meters"))
+    )
+
+
+@query
+def crashes_near_sites(spark, sf):
+    pairs = _near_sites(spark, sf)
+    return _near_site_columns(
+        pairs.orderBy(F.desc("crash_date"), "crash_record_id", "signal_id").limit(1000)
     )
 
 
+@query
+def all_crashes_near_sites(spark, sf):
+    """Every pair of the join, without the list's limit."""
+    return _near_site_columns(_near_sites(spark, sf))
+
+
 @query
 def radius_area(spark, sf):
     """Ring of a 1 km circle around every site, one row per vertex."""

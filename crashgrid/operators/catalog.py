@@ -34,9 +34,9 @@ def list_tables(tables: dict[str, SpatialTable]) -> DataFrame:
     return listed.orderBy("table_name")
 
 
-def sample_table(rows: DataFrame, limit: int = 10, order_by: str | None = None) -> DataFrame:
-    """First rows of a table with geometry abbreviated for reading."""
-    if not 1 <= limit <= 100:
+def sample_table(rows: DataFrame, limit: int | None = 10, order_by: str | None = None) -> DataFrame:
+    """First rows of a table, all for no limit, with geometry abbreviated for reading."""
+    if limit is not None and not 1 <= limit <= 100:
         raise ValueError(f"limit must be between 1 and 100, got {limit}")
     shown = [
         F.concat(F.lit("<geometry: "), F.substring(F.col(c).cast("string"), 1, 50), F.lit("...>")).alias(c)
@@ -45,4 +45,4 @@ def sample_table(rows: DataFrame, limit: int = 10, order_by: str | None = None)
         for c in rows.columns
     ]
     ordered = rows.orderBy(order_by) if order_by else rows
-    return ordered.limit(limit).select(*shown)
+    return (ordered if limit is None else ordered.limit(limit)).select(*shown)

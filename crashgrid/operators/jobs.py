@@ -20,12 +20,12 @@ def job_history(
     executions: DataFrame,
     jobs: DataFrame,
     job_id: int | None = None,
-    limit: int = HISTORY_ROWS,
+    limit: int | None = HISTORY_ROWS,
     offset: int = 0,
     newest_by: str = "started_at",
 ) -> DataFrame:
-    """Latest executions with the name and type of their job."""
-    if not 1 <= limit <= MAX_HISTORY_ROWS:
+    """Latest executions with the name and type of their job, all for no limit."""
+    if limit is not None and not 1 <= limit <= MAX_HISTORY_ROWS:
         raise ValueError(f"limit must be between 1 and {MAX_HISTORY_ROWS}, got {limit}")
     chosen = executions if job_id is None else executions.where(F.col("job_id") == job_id)
     names = jobs.select(F.col("id").alias("job_id"), "name", "job_type")
@@ -34,7 +34,8 @@ def job_history(
     # The limit is taken after the join: an execution of a deleted job is not listed.
     joined = chosen.join(names, "job_id")
     newest = joined.orderBy(F.desc_nulls_first(newest_by), "execution_id")
-    return (newest.offset(offset) if offset else newest).limit(limit)
+    newest = newest.offset(offset) if offset else newest
+    return newest if limit is None else newest.limit(limit)
 
 
 def job_summary(jobs: DataFrame, executions: DataFrame, as_of: datetime) -> DataFrame:

@@ -272,8 +272,8 @@ class LocationReport:
         )
         return breakdown.orderBy("line").drop("line")
 
-    def causes(self, limit: int = TOP_CAUSES) -> DataFrame:
-        """Leading causes with their share of all crashes in the region, in percent.
+    def causes(self, limit: int | None = TOP_CAUSES) -> DataFrame:
+        """Leading causes, all for no limit, with their share of all crashes in the region, in percent.
 
         Blank and missing causes are one line, UNKNOWN. The share is rounded half up to
         one decimal in integer arithmetic.
@@ -281,12 +281,9 @@ class LocationReport:
         cause = F.coalesce(
             F.nullif(F.col("prim_contributory_cause"), F.lit("")), F.lit("UNKNOWN")
         )
-        leading = (
-            self.crashes.groupBy(cause.alias("cause"))
-            .agg(*counters())
-            .orderBy(F.desc("crashes"), "cause")
-            .limit(limit)
-        )
+        leading = self.crashes.groupBy(cause.alias("cause")).agg(*counters())
+        if limit is not None:
+            leading = leading.orderBy(F.desc("crashes"), "cause").limit(limit)
         everything = self.crashes.agg(F.count("*").alias("n")).scalar()
         return (
             leading.withColumn("_all", everything)
@@ -304,7 +301,7 @@ class LocationReport:
             .orderBy("month")
         )
 
-    def points(self, limit: int = REPORT_POINTS) -> DataFrame:
+    def points(self, limit: int | None = REPORT_POINTS) -> DataFrame:
         return newest_points(self.crashes, limit)
 
     def area(self) -> DataFrame:

@@ -102,11 +102,12 @@ def count_rows(rows: DataFrame, where: str | Column | None = None) -> DataFrame:
     return (rows if where is None else rows.where(where)).agg(F.count("*").alias("count"))
 
 
-def sample_rows(rows: DataFrame, n: int = 100, order: Sequence[str] = ()) -> DataFrame:
-    """First rows of a feed, for connection tests and validation."""
-    if not 1 <= n <= 1000:
+def sample_rows(rows: DataFrame, n: int | None = 100, order: Sequence[str] = ()) -> DataFrame:
+    """First rows of a feed, all for None, for connection tests and validation."""
+    if n is not None and not 1 <= n <= 1000:
         raise ValueError(f"sample size must be between 1 and 1000, got {n}")
-    return (rows.orderBy(*order) if order else rows).limit(n)
+    ordered = rows.orderBy(*order) if order else rows
+    return ordered if n is None else ordered.limit(n)
 
 
 def land(rows: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from crashgrid import schemas as S
 from crashgrid.checks import queries as Q
 from crashgrid.checks.fixtures import view
 from crashgrid.operators import dashboard as D
@@ -163,3 +164,25 @@ def test_no_limit_returns_everything(tables):
     located = tables[0].where("longitude IS NOT NULL AND latitude IS NOT NULL").count()
     assert D.newest_points(tables[0]).count() == located
     assert D.crashes_by_cause(tables[0], limit=None).count() >= D.crashes_by_cause(tables[0]).count()
+
+
+def test_no_limit_returns_every_row(spark, tables, monkeypatch):
+    from crashgrid.operators import catalog, jobs
+    from crashgrid.sources import feeds
+
+    n = 50_001
+    many = spark.range(n).select(
+        F.col("id").cast("string").alias("crash_record_id"), F.lit(Q.START).cast("timestamp_ntz").alias("crash_date"),
+        F.lit(-87.7).alias("longitude"), F.lit(41.8).alias("latitude"),
+        *[F.lit(None).cast("string").alias(c) for c in S.MAP_POINT_COLUMNS[2:]])
+    monkeypatch.setattr(Q, "view", lambda *_: many)
+    assert Q.crashes_by_date_range(spark, "").count() == n
+    assert feeds.sample_rows(many, None).count() == n
+    assert catalog.sample_table(many, None).count() == n
+    runs = spark.range(201).select(
+        F.col("id").alias("execution_id"), F.lit(1).alias("job_id"), F.lit(Q.START).alias("started_at"))
+    registry = spark.createDataFrame([(1, "A", "custom")], "id INT, name STRING, job_type STRING")
+    assert jobs.job_history(runs, registry, limit=None).count() == 201
+    report = R.LocationReport(*tables, Q.CENTER)
+    assert report.causes(None).count() >= report.causes(1).count() == 1
+    assert report.points(None).count() == report.crashes.where("longitude IS NOT NULL").count()
