@@ -656,17 +656,17 @@ def purge_log(spark, sf):
 
 @query
 def sync_crashes(spark, sf):
-    """Stream two landings of the raw feed; the second amends every record."""
+    """Stream two landings of the raw feed file by file; the first amends every record of the second."""
     raw = view(spark, sf, "fx_raw_crashes")
     amended = raw.withColumns(
         {"ingest_seq": F.col("ingest_seq") + 1_000_000_000, "street_name": F.lit(" AMENDED  ST ")}
     )
     path = new_folder(spark, "feed")
-    text = raw.unionByName(amended)
-    feeds.land(text, path)
+    for n, text in enumerate((amended, raw)):
+        feeds.land(text.repartition(2, "ingest_seq"), f"{path}/{n}")
     warehouse = new_folder(spark, "warehouse")
     checkpoints = new_folder(spark, "checkpoints")
-    sync(spark, {"crashes": path}, warehouse, checkpoints, clock=lambda: NOW, files_per_batch=100)
+    sync(spark, {"crashes": f"{path}/*"}, warehouse, checkpoints, clock=lambda: NOW, files_per_batch=1)
     table = warehouse_table(spark, warehouse, S.CRASHES)
     return times_as_text(
         table.read().select("crash_record_id", "crash_date", "latitude", "longitude",

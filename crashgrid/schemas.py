@@ -104,6 +104,10 @@ NATIVE_PLACES = {
 # --- end of fixed values ----------------------------------------------------
 
 
+#: Landing sequence of a feed row; stored with the row, so that an older one never replaces it.
+SEQUENCE = "ingest_seq"
+
+
 @dataclass(frozen=True)
 class TableSpec:
     """One warehouse table: columns, key, what a row must have to be stored."""
@@ -118,8 +122,8 @@ class TableSpec:
 
     @property
     def schema(self) -> T.StructType:
-        """Declared columns plus the two audit columns."""
-        return T.StructType.fromDDL(f"{self.ddl}, {self.audit_ddl}")
+        """Declared columns, the two audit columns and the sequence of the stored row."""
+        return T.StructType.fromDDL(f"{self.ddl}, {self.audit_ddl}, {SEQUENCE} BIGINT")
 
     @property
     def columns(self) -> list[str]:
@@ -225,5 +229,5 @@ RUN_METRICS_DDL = (
 
 def raw_schema(spec: TableSpec) -> T.StructType:
     """Landing schema of a feed: every declared column as text."""
-    names = [*spec.columns, "ingest_seq", ":updated_at"]
+    names = [*spec.columns, SEQUENCE, ":updated_at"]
     return T.StructType([T.StructField(n, T.StringType()) for n in names])

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from crashgrid.functions.labels import month_text
 from crashgrid.functions.predicates import in_dates
+from crashgrid.schemas import SEQUENCE
 
 UNKNOWN_PART = "unknown"
 ONE_PART = "all"
@@ -107,9 +108,12 @@ class PartedTable:
 
     # -- reading -------------------------------------------------------------
     def read(self, parts: Iterable[str] | None = None, revision: int | None = None) -> DataFrame:
-        """Current rows, or only those of some parts (other directories are not listed)."""
+        """Current rows, or only those of some parts (other directories are not listed).
+
+        Without the landing sequence, which only a merge looks at.
+        """
         state = self.state(revision)
-        return self.read_directories(self.directories(parts, state)).drop("part", "rev")
+        return self.read_directories(self.directories(parts, state)).drop("part", "rev", SEQUENCE)
 
     def read_directories(self, directories: Iterable[Directory]) -> DataFrame:
         """Rows of some directories, with the ``part`` and ``rev`` they come from."""
@@ -156,6 +160,8 @@ class PartedTable:
         # Unique per attempt, so leftovers of a failed one are never picked up.
         token = f"{revision:09d}-{uuid.uuid4().hex[:8]}"
         names = [f.name for f in self.schema.fields]
+        if SEQUENCE in names and SEQUENCE not in rows.columns:
+            rows = rows.withColumn(SEQUENCE, F.lit(None))
         laid_out = (
             rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
             .withColumn("part", self.part.cast("string"))

@@ -134,3 +134,16 @@ def test_geojson_feature(spark):
         "properties": {"crash_record_id": "A", "crash_date": "2024-01-02T03:04:05", "injuries_total": 0,
                        "injuries_fatal": 1, "injuries_incapacitating": 0, "hit_and_run_i": True,
                        "crash_type": None, "street_name": "MAIN", "primary_contributory_cause": None}}
+
+
+@pytest.mark.parametrize("per_batch", [1, 10])
+def test_the_newer_record_stays_whichever_file_is_read_first(spark, folder, per_batch):
+    for n, row in enumerate([("A", "2024-01-01", "new", 9), ("A", "2024-02-01", "old", 3), ("A", "2024-01-01", "older", 1)]):
+        feeds.land(raw(spark, row).coalesce(1), f"{folder}/feed/{n}")
+    totals = start(spark, folder, per_batch=per_batch).first()
+    assert (totals["fetched"], totals["inserted"], totals["updated"], totals["repeated"]) == (3, 1, 0, 2)
+    feeds.land(raw(spark, ("A", "2024-01-01", "newest", 10)).coalesce(1), f"{folder}/feed/9")
+    table = warehouse_table(spark, f"{folder}/warehouse", S.CRASHES)
+    assert [r["street_name"] for r in table.read().collect()] == ["new"]
+    start(spark, folder, per_batch=per_batch)
+    assert [r["street_name"] for r in table.read().collect()] == ["newest"]
