@@ -14,18 +14,23 @@ from crashgrid.functions.predicates import ntz
 from crashgrid.sources.geojson import read_upload
 from crashgrid.sources.tables import ONE_PART, PartedTable
 
-PROFILED_FEATURES = 100
 SAMPLES_PER_FIELD = 3
 NUMERIC_SHARE = 0.8
 _AUDIT = ", created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
 
 
-def first_features(features: DataFrame, n: int = PROFILED_FEATURES) -> DataFrame:
-    return features.orderBy("id").limit(n)
+def first_features(features: DataFrame, n: int | None = None) -> DataFrame:
+    """The first features of a layer, all for None."""
+    return features if n is None else features.orderBy("id").limit(n)
 
 
-def detect_sort_type(features: DataFrame, label_field: str | None) -> DataFrame:
-    """One row: 'numeric' when at least 80 % of the first labels hold a digit."""
+def detect_sort_type(
+    features: DataFrame, label_field: str | None, sample: int | None = None
+) -> DataFrame:
+    """One row: 'numeric' when at least 80 % of the labels hold a digit.
+
+    ``sample`` looks at so many first features only.
+    """
     if not label_field:
         return features.sparkSession.range(1).select(F.lit("alphabetic").alias("sort_type"))
     properties = F.col("properties")
@@ -35,18 +40,19 @@ def detect_sort_type(features: DataFrame, label_field: str | None) -> DataFrame:
     quoted = L.is_quoted(properties, label_field)
     numeric = F.when(bare & ~quoted, truth).otherwise(text.rlike(r"\d"))
     share = F.avg(numeric.cast("int"))
-    labelled = first_features(features).where(text.isNotNull())
+    labelled = first_features(features, sample).where(text.isNotNull())
     return labelled.agg(
         F.when(share >= NUMERIC_SHARE, "numeric").otherwise("alphabetic").alias("sort_type")
     )
 
 
-def profile_fields(features: DataFrame) -> DataFrame:
-    """Property names of the first features with up to three sample values each.
+def profile_fields(features: DataFrame, sample: int | None = None) -> DataFrame:
+    """Property names of a layer with up to three sample values each.
 
-    ``suggested`` marks the name that makes the best label.
+    ``suggested`` marks the name that makes the best label. ``sample`` looks at so many first
+    features only.
     """
-    keyed = first_features(features).select(
+    keyed = first_features(features, sample).select(
         "id", "properties", F.posexplode(F.json_object_keys("properties")).alias("pos", "name")
     )
     values = keyed.select(
@@ -55,13 +61,15 @@ def profile_fields(features: DataFrame) -> DataFrame:
         L.json_text(F.col("properties"), F.col("name")).alias("value"),
     )
     distinct = values.groupBy("name", "value").agg(F.min("seen_at").alias("seen_at"))
-    per_name = Window.partitionBy("name").orderBy(F.col("value").isNull(), "seen_at")
-    ranked = distinct.withColumn("rank", F.row_number().over(per_name))
-    sample = F.when(
-        (F.col("rank") <= SAMPLES_PER_FIELD) & F.col("value").isNotNull(), F.struct("rank", "value")
+    # The bound on the rank is applied before the shuffle: a task gets three values of a name at most from each other.
+    per_name = Window.partitionBy("name").orderBy("seen_at")
+    ranked = distinct.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(per_name))
+    shown = ranked.where(F.col("rank") <= SAMPLES_PER_FIELD).groupBy("name").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("samples")
     )
-    fields = ranked.groupBy("name").agg(
-        F.min("seen_at").alias("seen_at"), F.array_sort(F.collect_list(sample)).alias("samples")
+    names = distinct.groupBy("name").agg(F.min("seen_at").alias("seen_at"))
+    fields = names.join(shown, "name", "left").withColumn(
+        "samples", F.coalesce("samples", F.array().cast("array<struct<rank:int,value:string>>"))
     )
     order = F.struct(L.label_rank(F.col("name")).alias("rank"), F.col("seen_at"))
     best = fields.where(L.label_rank(F.col("name")).isNotNull()).agg(F.min_by("name", order))
@@ -78,8 +86,8 @@ def profile_fields(features: DataFrame) -> DataFrame:
     )
 
 
-def field_names(features: DataFrame, sample: int = 10) -> DataFrame:
-    """Sorted property names of the first features of a layer."""
+def field_names(features: DataFrame, sample: int | None = None) -> DataFrame:
+    """Sorted property names of a layer, or of so many first features."""
     return (
         first_features(features, sample)
         .select(F.explode(F.json_object_keys("properties")).alias("name"))

@@ -169,3 +169,14 @@ def test_features_keep_their_numbers_over_many_files(spark, folder):
     upload = geojson.read_upload(spark, one_each)
     assert upload.feature_count == 8
     assert [r["id"] for r in upload.features.orderBy("id").collect()] == [i * 1_000_000_000 + 1 for i in range(8)]
+
+
+def test_the_whole_layer_is_profiled(spark):
+    made = [(i, f'{{"n":"{i}"}}') for i in range(101)] + [(200 + i, f'{{"n":"x","late":"{i}"}}') for i in range(101)]
+    rows = spark.createDataFrame(made, "id BIGINT, properties STRING")
+    got = [(r["name"], r["sample_values"]) for r in layers.profile_fields(rows).collect()]
+    assert got == [("n", ["0", "1", "2"]), ("late", ["0", "1", "2"])]
+    assert [r["name"] for r in layers.profile_fields(rows, 100).collect()] == ["n"]
+    assert [r["name"] for r in layers.field_names(rows).collect()] == ["late", "n"]
+    assert layers.detect_sort_type(rows, "n").first()["sort_type"] == "alphabetic"
+    assert layers.detect_sort_type(rows, "n", 100).first()["sort_type"] == "numeric"
