@@ -1,13 +1,15 @@
 """A training corpus from raw documents: language, near-duplicates, passages, mixture, windows.
 
 Each stage takes ``(spark, docs, sf_dir)``; its rows are written and read again as the next stage's
-documents. All but the last return the columns of documents.
+documents. All but the last return the columns of documents. A row is known by all its columns, not by
+``doc_id`` alone: rows without id and different rows of one id are documents of their own in every stage,
+ordered by id (none last).
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashgrid.llm.common import stored, table
@@ -20,34 +22,81 @@ from crashgrid.llm.substring_dedup import repeated_passages
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _ids_tell_apart(docs: DataFrame) -> bool:
+    """Has every row an id that no other row has?"""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    return not odd.take(1)
+
+
+def _digest(docs: DataFrame) -> Column:
+    """Digest of a whole row; equal only for rows that are equal in every column."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+
+
+def _keyed(docs: DataFrame, once: bool = False) -> DataFrame:
+    """The rows with a number ``_key``: rows that are equal in every column share it, no others do.
+
+    Numbers grow with the id; rows without id come last. Ids that tell all rows apart are the numbers.
+    ``once`` leaves one of the rows of a number.
+    """
+    if _ids_tell_apart(docs):
+        return docs.withColumn("_key", F.col("doc_id"))
+    marked = docs.withColumn("_digest", _digest(docs))
+    marked = marked.dropDuplicates(["_digest"]) if once else marked
+    order = marked.select("doc_id", "_digest").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_digest")
+    numbers = stored(order.select("_digest", F.monotonically_increasing_id().alias("_key")), "keys")
+    return stored(marked.join(numbers, "_digest").drop("_digest"), "keyed")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language, or in none for sure."""
+    """Drop documents in no language, or in none for sure. Every row is judged by its own text."""
     model = train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    found = identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return docs.join(stored(found.select("doc_id").distinct(), "languages"), "doc_id", "left_semi").select(docs.columns)
+    found = identify(docs, model, carry=True)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, and every document without a group."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stored(kept, "kept"), "doc_id", "left_semi").select(docs.columns)
+    """Keep one document of each group of near-duplicates, and every document without a group.
+
+    Rows that are repeated in every column leave one. Rows of one id with different texts are compared
+    like any two documents, and so are rows without id.
+    """
+    rows = _keyed(docs, once=True)
+    kept = near_duplicates(rows, "_key").where("kept").select(F.col("doc_id").alias("_key"))
+    return rows.join(stored(kept, "kept"), "_key", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out passages that an earlier document has; documents of nothing else go."""
-    found = repeated_passages(docs).where("n_removed > 0")
-    found = stored(found.select("doc_id", "kept").dropDuplicates(["doc_id"]), "passages")
-    rows = docs.join(found, "doc_id", "left")
+    """Take out passages that an earlier document has; documents of nothing else go.
+
+    Each of several texts of one id is cut by itself; rows without id are later than all others. Rows
+    that are repeated in every column are the same document.
+    """
+    rows = _keyed(docs)
+    found = repeated_passages(rows, "_key").where("n_removed > 0")
+    found = stored(found.select(F.col("doc_id").alias("_key"), "kept").dropDuplicates(["_key"]), "passages")
+    rows = rows.join(found, "_key", "left")
     text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))
     rows = rows.where(F.col("kept").isNull() | (F.col("kept") != "")).withColumn("text", text)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it."""
-    taken = mix(docs, table(spark, sf_dir, "labels")).where("copies > 0")
-    taken = stored(taken.groupBy("doc_id").agg(F.max("copies").alias("_copies")), "taken")
-    rows = docs.join(taken, "doc_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """Every document as often as the mixture takes it.
+
+    Each row is drawn for itself, also without id or beside others of its id; of rows that are repeated
+    in every column all copies together are returned.
+    """
+    labels = table(spark, sf_dir, "labels")
+    rows, key = docs, "doc_id"
+    if _ids_tell_apart(docs):
+        taken = mix(docs, labels)
+    else:
+        rows, key = docs.withColumn("_digest", _digest(docs)), "_digest"
+        taken = mix(rows, labels, row=key).select(F.col("row").alias(key), "copies")
+        rows = rows.dropDuplicates([key])
+    taken = stored(taken.where("copies > 0").groupBy(key).agg(F.sum("copies").alias("_copies")), "taken")
+    rows = rows.join(taken, key).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return rows.select(docs.columns)
 
 

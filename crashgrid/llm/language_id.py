@@ -118,6 +118,7 @@ def _predict(model: Unigrams | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 n = batch.num_rows
+                carried = [c for c in batch.schema.names if c == "row"]
                 best, sure = [UNKNOWN] * n, np.zeros(n)
                 if scorer:
                     texts = batch.column("text").fill_null("").cast(pa.large_string())
@@ -140,26 +141,34 @@ def _predict(model: Unigrams | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     sure = np.where(known, scores[np.arange(n), top], 0.0)
                     best = [model.languages[t] if k else UNKNOWN for t, k in zip(top.tolist(), known.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("doc_id", "held_out")), pa.array(best, pa.string()), pa.array(sure)],
-                    ["doc_id", "held_out", "lang_pred", "score"],
+                    [
+                        *(batch.column(c) for c in ("doc_id", "held_out")), pa.array(best, pa.string()), pa.array(sure),
+                        *(batch.column(c) for c in carried),
+                    ],
+                    ["doc_id", "held_out", "lang_pred", "score", *carried],
                 )
 
     return predict
 
 
 def identify(
-    docs: DataFrame, model: Unigrams | None, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, model: Unigrams | None, doc_id: str = "doc_id", text: str = "text", carry: bool = False
 ) -> DataFrame:
     """Language of every text: ``doc_id, held_out, lang_pred, score``.
 
     The score is the share of the predicted language in the probability of the text under all
     languages. Null texts and texts without a letter get ``und`` and 0, and so does every text if
     there was nothing to learn from. Equally likely languages: the first by name. One row per row
-    of ``docs``, also for repeated rows and rows without id; nothing is shuffled.
+    of ``docs``, also for repeated rows and rows without id; nothing is shuffled. ``carry`` adds
+    each row's own columns as a struct ``row``.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         held_out(F.col(doc_id)).alias("held_out"),
         F.col(text).cast("string").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    found = "doc_id long, held_out boolean, lang_pred string, score double"
+    if carry:
+        found += f", row {rows.schema['row'].dataType.simpleString()}"
+    return rows.mapInArrow(_predict(model), found)

@@ -61,6 +61,7 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MAX_EPOCHS,
     seed: int = 0,
+    row: str | None = None,
 ) -> DataFrame:
     """How often the mix takes each document.
 
@@ -69,23 +70,30 @@ def mix(
     ``doc_id, source, size, source_size, target, copies, taken``; ``copies`` is the number of
     complete epochs, plus one if the document is in the last, fractional one. A document without
     words has size 0; null sources form a source of their own. Documents with equal keys (repeated
-    rows) are taken in an order of their sizes. An empty table gives no rows.
+    rows) are taken in an order of their sizes. An empty table gives no rows. ``row`` names a column
+    that tells rows apart: it is returned too, and rows without id are drawn by it, each for itself.
 
     The prefix sums are taken in two steps, so that a source with a third of all rows is never
     sorted in one task: sums per key range first, then the rows of the single range in which the
     budget ends.
     """
+    named = [] if row is None else [F.col(row).alias("row")]
+    extra = ["row"] if named else []
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.size(words_of(F.col(text))).cast("long").alias("size"),
+        *named,
     )
     weight = F.lit(1.0)
     if quality is not None:
         marks = quality.groupBy("doc_id").agg(F.avg("quality").alias("_quality"))
         rows = rows.join(marks, "doc_id", "left")
         weight = F.coalesce(0.25 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_quality")), F.lit(1.0))
-    rows = rows.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), weight, seed).alias("_key"))
+    drawn = sampling_key(F.col("doc_id"), weight, seed)
+    if extra:
+        drawn = F.when(F.col("doc_id").isNull(), sampling_key(F.col("row"), weight, seed)).otherwise(drawn)
+    rows = rows.select("doc_id", "source", "size", *extra, drawn.alias("_key"))
     rows = stored(rows, "mix")
 
     buckets = max(BUCKETS, rows.count() // ROWS_PER_BUCKET)
@@ -113,7 +121,7 @@ def mix(
     )
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
 
-    inner = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source").orderBy("_key", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(F.col("_bucket") == F.col("_at"))
     edge = edge.withColumn("_before", F.col("_before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     edge = edge.withColumn("_in", F.col("_before") + F.col("size") / 2 <= F.col("_rest"))
@@ -121,5 +129,5 @@ def mix(
     copies = F.col("_epochs") + F.col("_in").cast("long")
     return edge.unionByName(whole).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+        (copies * F.col("size")).alias("taken"), *extra,
     )

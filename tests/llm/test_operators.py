@@ -267,3 +267,76 @@ def test_pipeline_stages(spark, docs, sf):
         assert docs.count() > 0
     assert set(brute.near_duplicates(pairs(P.minhash_dedup(spark, before, sf)), 80).values())
     assert P.run(spark, sf).count() > 0
+
+
+@pytest.fixture(scope="module")
+def planted(spark, docs):
+    """Clean documents and, beside them, rows without id, repeated rows and two texts of one id."""
+    from pyspark.sql import Row
+
+    clean = docs.where("lang is not null").orderBy("doc_id").limit(60).collect()
+    a, b, c = (" ".join(prose(s, 160)) for s in (21, 22, 23))
+    made = [(None, a), (None, a), (None, b), (900_001, c), (900_001, c), (900_002, " ".join(prose(24, 200))),
+            (900_002, " ".join(prose(25, 200))), (900_003, b + " changed"), (900_004, " ".join([*prose(26, 90), *prose(24, 200)[:70]])),
+            (None, " ".join([*prose(27, 90), *prose(25, 200)[50:130]])), (None, ""), (900_005, None)]
+    odd = [Row(**(clean[0].asDict() | {"doc_id": d, "text": t, "n_chars": len(t or "")})) for d, t in made]
+    return spark.createDataFrame(clean + odd, docs.schema).repartition(3)
+
+
+def numbered(frame):
+    """Distinct rows, numbered by id (none last)."""
+    rows = sorted({tuple(r) for r in frame.collect()}, key=lambda r: (r[0] is None, r[0] or 0, repr(r)))
+    return dict(enumerate(rows)), frame.columns.index("text")
+
+
+def listed(frame):
+    return sorted(repr(tuple(r)) for r in frame.collect())
+
+
+def test_pipeline_language_stage_by_rows(spark, planted, sf):
+    import corpus_pipeline as P
+
+    given = planted.withColumn("at", F.monotonically_increasing_id()).localCheckpoint()
+    found = rows(identify(given, train(given, PIECES), "at"), "lang_pred", "score")
+    wanted = [r for r in given.collect() if found[r["at"]][0] != "und" and found[r["at"]][1] >= P.MIN_LANGUAGE_SCORE]
+    got = P.language_id(spark, given, sf)
+    assert listed(got) == sorted(repr(tuple(r)) for r in wanted)
+    assert any(r["doc_id"] is None for r in wanted)
+
+
+def test_pipeline_minhash_stage_by_rows(spark, planted, sf):
+    import corpus_pipeline as P
+
+    by_number, text = numbered(planted)
+    groups = brute.near_duplicates([(n, r[text]) for n, r in by_number.items()], 80)
+    wanted = sorted(repr(r) for n, r in by_number.items() if groups[n][1] == n)
+    assert listed(P.minhash_dedup(spark, planted, sf)) == wanted
+
+
+def test_pipeline_passages_stage_by_rows(spark, planted, sf):
+    import corpus_pipeline as P
+
+    by_number, text = numbered(planted)
+    removed = brute.repeated_passages([(n, r[text]) for n, r in by_number.items()])
+    got, number = {}, {r: n for n, r in by_number.items()}
+    empty = hashlib.sha256(b"").hexdigest()
+    wanted = sorted(removed[number[tuple(r)]][2] for r in planted.collect()
+                    if not (removed[number[tuple(r)]][1] and removed[number[tuple(r)]][2] == empty))
+    got = P.substring_dedup(spark, planted, sf).collect()
+    assert sorted(hashlib.sha256(" ".join(brute.WORDS(r["text"] or "")).encode()).hexdigest() for r in got) == wanted
+    assert sum(n for _, n, _ in removed.values()) > 0
+
+
+def test_pipeline_mix_stage_by_rows(spark, planted, sf):
+    import corpus_pipeline as P
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    n = planted.count()
+    wanted = {}
+    plan = mix(planted, labels).select("source", "target", "size").collect()
+    for r in P.mix_sources(spark, planted, sf).collect():
+        wanted[r["source"]] = wanted.get(r["source"], 0) + len(brute.WORDS(r["text"] or ""))
+    assert len(plan) == n
+    for source in {r["source"] for r in plan}:
+        mine = [r for r in plan if r["source"] == source]
+        assert abs(wanted.get(source, 0) - mine[0]["target"]) <= max(r["size"] for r in mine)
