@@ -8,7 +8,7 @@ sets confirm them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,28 @@ from crashgrid.llm.text import Words, mixed, slices
 
 SHINGLE = 5
 SIMILARITY = 80
-ROWS, BANDS = 7, 28  # two values per permutation: 98 permutations; a pair at 85 % is missed once in 50,000
+VALUES = 196  # of a signature at most, two per permutation
+MISSED = 1 / 15_000  # so often at most is a pair missed that has just the similarity asked for
 
-_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, ROWS * BANDS // 2), dtype=np.uint64)
+_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, VALUES // 2), dtype=np.uint64)
 _FACTORS, _SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 _CHUNK = 1024
 PARITY_LONGS = 16  # a set's parity map: for each of 1024 cells, whether an odd number of shingles falls there
 
 
+def layout(similarity: int) -> tuple[int, int]:
+    """Rows and bands for a similarity in percent: the longest bands that miss no more than MISSED.
+
+    85 %: 28 bands of 7, missed once in 50,000. 80 %: 32 bands of 6, missed once in 17,000.
+    """
+    for rows in range(VALUES // 2, 1, -1):
+        bands = VALUES // rows
+        bands -= rows * bands % 2
+        if (1 - (similarity / 100) ** rows) ** bands <= MISSED:
+            return rows, bands
+    return 1, VALUES
+
+
 def shingle_sets(words: Words, width: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a batch.
 
@@ -47,22 +61,23 @@ def shingle_sets(words: Words, width: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def min_max(shingles: np.ndarray) -> np.ndarray:
-    """Signature of a set: the minima, then the maxima, of its images under all permutations."""
-    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(len(_FACTORS), np.uint64)
+def min_max(shingles: np.ndarray, permutations: int = VALUES // 2) -> np.ndarray:
+    """Signature of a set: the minima, then the maxima, of its images under so many permutations."""
+    factors, shifts = _FACTORS[:permutations], _SHIFTS[:permutations]
+    low = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(permutations, np.uint64)
     for at in range(0, len(shingles), _CHUNK):
-        images = shingles[at : at + _CHUNK, None] * _FACTORS + _SHIFTS
+        images = shingles[at : at + _CHUNK, None] * factors + shifts
         np.minimum(low, images.min(axis=0), out=low)
         np.maximum(high, images.max(axis=0), out=high)
     return np.concatenate([low, high])
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
+def band_keys(signatures: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """One key per band of each signature; equal bands of equal number have equal keys."""
-    parts = signatures.reshape(len(signatures), BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
-    for row in range(ROWS):
+    parts = signatures.reshape(len(signatures), bands, rows)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for row in range(rows):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, row])
     return keys.view(np.int64)
 
@@ -70,21 +85,24 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            sets = list(shingle_sets(Words(batch.column("text"), lower=True)))
-            keys = band_keys(np.stack([min_max(s) for s in sets])) if sets else np.zeros((0, BANDS), np.int64)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            bands = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]), pa.int32()),
-                pa.array(keys[sizes > 0].reshape(-1)),
-            )
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), bands],
-                ["doc_id", "n_shingles", "digest", "bands"],
-            )
+def _sign(rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = list(shingle_sets(Words(batch.column("text"), lower=True)))
+                keys = band_keys(np.stack([min_max(s, rows * bands // 2) for s in sets]), rows, bands) if sets else np.zeros((0, bands), np.int64)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                keyed = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()),
+                    pa.array(keys[sizes > 0].reshape(-1)),
+                )
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), keyed],
+                    ["doc_id", "n_shingles", "digest", "bands"],
+                )
+
+    return sign
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -147,7 +165,7 @@ def near_duplicates(
     sets in shingles. No candidate is capped or dropped.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stored(rows.mapInArrow(_sign, _SIGNED), "signatures")
+    signed = stored(rows.mapInArrow(_sign(*layout(similarity)), _SIGNED), "signatures")
     classes = stored(
         signed.where("n_shingles > 0")
         .groupBy("digest")

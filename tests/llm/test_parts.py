@@ -115,3 +115,13 @@ def test_parity_maps_differ_in_no_more_bits_than_sets_in_members(shared, one, tw
     a, b = shared | one, shared | two
     maps = [parity(np.array(sorted(s), np.uint64)) for s in (a, b)]
     assert int(np.bitwise_count((maps[0] ^ maps[1]).view(np.uint64)).sum()) <= len(a ^ b)
+
+
+def test_bands_follow_the_similarity():
+    from crashgrid.llm.minhash import VALUES, layout
+
+    assert (layout(85), layout(80)) == ((7, 28), (6, 32))
+    for percent in range(5, 100):
+        rows, bands = layout(percent)
+        assert rows * bands <= VALUES and rows * bands % 2 == 0
+        assert (1 - (percent / 100) ** rows) ** bands <= 1 / 15_000
