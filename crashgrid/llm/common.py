@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_watching: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are removed at the end.
+
+    Whatever is to outlive them must have been written, outside ``stored``, before that.
+    """
+    _watching.append([])
+    try:
+        yield
+    finally:
+        for path in _watching.pop():
+            _remove(spark, path)
+
+
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
     """Write rows to the shared folder and read them back.
 
@@ -26,6 +51,8 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     """
     spark = rows.sparkSession
     path = new_folder(spark, purpose)
+    if _watching:
+        _watching[-1].append(path)
     rows.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -27,7 +27,7 @@ FOLDS = 5
 
 SAMPLE_PER_LANGUAGE = 500
 MAX_CACHED = 400_000
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 22
 
 
 def held_out(doc_id: Column) -> Column:
@@ -112,63 +112,72 @@ class _Scorer:
         return self.table[np.fromiter(map(self.rows.__getitem__, units), np.int64, len(units))]
 
 
+def _judge(model: Unigrams | None, scorer: _Scorer | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text. What a text gets does not depend on the texts beside it."""
+    n = len(texts)
+    if not scorer or not n:
+        return [UNKNOWN] * n, np.zeros(n)
+    units = pc.split_pattern(pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " "), " ")
+    bounds = units.offsets.to_numpy()
+    coded = pc.dictionary_encode(units.flatten())
+    rows = scorer.look_up(coded.dictionary.to_pylist())
+    order = coded.indices.to_numpy()
+    # a text has one unit at least, so no sum is over nothing
+    totals = np.stack([np.add.reduceat(column[order], bounds[:-1] - bounds[0]) for column in rows.T], axis=1)
+    scores = np.exp(totals[:, :-1] - totals[:, :-1].max(axis=1, keepdims=True))
+    scores /= scores.sum(axis=1, keepdims=True)
+    top = scores.argmax(axis=1)
+    known = totals[:, -1] > 0.5
+    best = [model.languages[t] if k else UNKNOWN for t, k in zip(top.tolist(), known.tolist(), strict=True)]
+    return best, np.where(known, scores[np.arange(n), top], 0.0)
+
+
 def _predict(model: Unigrams | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model) if model else None
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                n = batch.num_rows
-                carried = [c for c in batch.schema.names if c == "row"]
-                best, sure = [UNKNOWN] * n, np.zeros(n)
-                if scorer:
-                    texts = batch.column("text").fill_null("").cast(pa.large_string())
-                    units = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-                    bounds = units.offsets.to_numpy()
-                    coded = pc.dictionary_encode(units.flatten())
-                    rows = scorer.look_up(coded.dictionary.to_pylist())
-                    order = coded.indices.to_numpy()
-                    totals = np.stack(
-                        [
-                            np.diff(np.concatenate([[0.0], np.cumsum(column[order])])[bounds - bounds[0]])
-                            for column in rows.T
-                        ],
-                        axis=1,
-                    )
-                    scores = np.exp(totals[:, :-1] - totals[:, :-1].max(axis=1, keepdims=True))
-                    scores /= scores.sum(axis=1, keepdims=True)
-                    top = scores.argmax(axis=1)
-                    known = totals[:, -1] > 0.5
-                    sure = np.where(known, scores[np.arange(n), top], 0.0)
-                    best = [model.languages[t] if k else UNKNOWN for t, k in zip(top.tolist(), known.tolist(), strict=True)]
+                best, sure = _judge(model, scorer, batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c) for c in ("doc_id", "held_out")), pa.array(best, pa.string()), pa.array(sure),
-                        *(batch.column(c) for c in carried),
-                    ],
-                    ["doc_id", "held_out", "lang_pred", "score", *carried],
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(best, pa.string()), pa.array(sure)],
+                    ["doc_id", "held_out", "lang_pred", "score"],
                 )
 
     return predict
 
 
-def identify(
-    docs: DataFrame, model: Unigrams | None, doc_id: str = "doc_id", text: str = "text", carry: bool = False
-) -> DataFrame:
+def verdict(model: Unigrams | None) -> Callable[[Column], Column]:
+    """``text -> struct(lang_pred, score)`` as a column, judged like ``identify``.
+
+    Only the texts go to Python; the other columns of a row stay where they are. The result is
+    meant for a filter: used in several places it would be computed for each.
+    """
+
+    def judged(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _Scorer(model) if model else None
+        for column in columns:
+            found = []
+            for batch in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", SLICE_BYTES):
+                best, sure = _judge(model, scorer, batch.column("text"))
+                arrays = [pa.array(best, pa.string()), pa.array(sure)]
+                found.append(pa.StructArray.from_arrays(arrays, ["lang_pred", "score"]))
+            yield pa.concat_arrays(found) if found else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
+    judged.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(judged, "lang_pred string, score double")
+
+
+def identify(docs: DataFrame, model: Unigrams | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Language of every text: ``doc_id, held_out, lang_pred, score``.
 
     The score is the share of the predicted language in the probability of the text under all
     languages. Null texts and texts without a letter get ``und`` and 0, and so does every text if
     there was nothing to learn from. Equally likely languages: the first by name. One row per row
-    of ``docs``, also for repeated rows and rows without id; nothing is shuffled. ``carry`` adds
-    each row's own columns as a struct ``row``.
+    of ``docs``, also for repeated rows and rows without id; nothing is shuffled.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         held_out(F.col(doc_id)).alias("held_out"),
         F.col(text).cast("string").alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
-    found = "doc_id long, held_out boolean, lang_pred string, score double"
-    if carry:
-        found += f", row {rows.schema['row'].dataType.simpleString()}"
-    return rows.mapInArrow(_predict(model), found)
+    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")

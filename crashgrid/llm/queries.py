@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashgrid.llm.common import table
+from crashgrid.llm.chat import format_chats, read_chats
+from crashgrid.llm.collocations import collocations
+from crashgrid.llm.common import stored, table
 from crashgrid.llm.fingerprints import fingerprints
 from crashgrid.llm.language_id import identify, train
 from crashgrid.llm.minhash import near_duplicates
 from crashgrid.llm.mixing import mix
 from crashgrid.llm.packing import pack_windows
 from crashgrid.llm.quality_rules import quality_rules
+from crashgrid.llm.spelling import spelling_variants
 from crashgrid.llm.substring_dedup import repeated_passages
 from crashgrid.llm.suffix_dedup import repeated_strings
 from crashgrid.llm.token_files import token_files
@@ -65,6 +68,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_windows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_chats(stored(format_chats(given.unionByName(own)), "chats")).drop("rewrites")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
@@ -76,4 +94,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_chat_formatting": op12_chat_formatting,
+    "op13_spelling": op13_spelling,
 }

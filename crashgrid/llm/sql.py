@@ -66,4 +66,39 @@ SELECT page_id, u.host, path, f.rule, coalesce(f.verdict, CASE WHEN k.bad THEN '
 FROM u LEFT JOIN f ON u.r = f.r LEFT JOIN k ON u.host = k.host
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op3_url_filters": OP3}
+OP11 = fr"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex(translate(coalesce(text, ''), {_FROM_UPPER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(list_slice(words, i, i + m - 1), ' ') AS phrase FROM
+      (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+x AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE m > 1),
+k AS (SELECT lang, phrase, m, a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k+1:], ' ') AS tail FROM
+      (SELECT *, unnest(range(1, m)) AS k FROM x)),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, ((2000000::HUGEINT * k.a) // (l.a + r.a))::BIGINT AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.head JOIN f r ON r.lang = k.lang AND r.phrase = k.tail),
+c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(words[i:i+j-1], ' ') AS phrase, max(a) AS longer FROM
+      (SELECT *, unnest(range(1, m - j + 2)) AS i FROM x, (SELECT unnest([2, 3]) AS j) WHERE j < m) GROUP BY ALL),
+o AS (SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+      FROM c LEFT JOIN i ON c.lang = i.lang AND c.phrase = i.phrase WHERE i.longer IS NULL OR 100 * i.longer < 80 * c.a)
+SELECT o.lang, rank, phrase, a, l, r, n.n, score FROM o JOIN n ON o.lang = n.lang WHERE rank <= 2000
+"""
+
+_SHOWN = r"regexp_replace(text, '([<\[])(\\*)(/?INST\]|/?TURN|/?s>)', '\1\2\\\3', 'g')"
+
+OP12 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+           (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+            SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')))),
+f AS (SELECT *, length({_SHOWN}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE length(role) + 16 END AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(shown))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op3_url_filters": OP3, "op11_collocations": OP11, "op12_chat_formatting": OP12}

@@ -19,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
 from crashgrid.llm import sql  # noqa: E402
+from crashgrid.llm.common import stored  # noqa: E402
 from crashgrid.llm.fingerprints import fingerprints  # noqa: E402
 from crashgrid.llm.language_id import identify, train  # noqa: E402
 from crashgrid.llm.minhash import near_duplicates  # noqa: E402
@@ -280,7 +281,9 @@ def planted(spark, docs):
             (900_002, " ".join(prose(25, 200))), (900_003, b + " changed"), (900_004, " ".join([*prose(26, 90), *prose(24, 200)[:70]])),
             (None, " ".join([*prose(27, 90), *prose(25, 200)[50:130]])), (None, ""), (900_005, None)]
     odd = [Row(**(clean[0].asDict() | {"doc_id": d, "text": t, "n_chars": len(t or "")})) for d, t in made]
-    return spark.createDataFrame(clean + odd, docs.schema).repartition(3)
+    clashing = ["key", "row", "kept", "found", "copies", "_key", "_n", "_copies", "_digest", "digest", "component_id"]
+    frame = spark.createDataFrame(clean + odd, docs.schema).repartition(3)
+    return stored(frame.withColumns({c: F.lit(f"own {c}") for c in clashing}), "planted")
 
 
 def numbered(frame):
@@ -296,7 +299,7 @@ def listed(frame):
 def test_pipeline_language_stage_by_rows(spark, planted, sf):
     import corpus_pipeline as P
 
-    given = planted.withColumn("at", F.monotonically_increasing_id()).localCheckpoint()
+    given = stored(planted.withColumn("at", F.monotonically_increasing_id()), "given")
     found = rows(identify(given, train(given, PIECES), "at"), "lang_pred", "score")
     wanted = [r for r in given.collect() if found[r["at"]][0] != "und" and found[r["at"]][1] >= P.MIN_LANGUAGE_SCORE]
     got = P.language_id(spark, given, sf)
@@ -340,3 +343,32 @@ def test_pipeline_mix_stage_by_rows(spark, planted, sf):
     for source in {r["source"] for r in plan}:
         mine = [r for r in plan if r["source"] == source]
         assert abs(wanted.get(source, 0) - mine[0]["target"]) <= max(r["size"] for r in mine)
+
+
+def test_pipeline_packing_stage_by_rows(spark, planted, sf):
+    import corpus_pipeline as P
+
+    tokenizer, by_doc = Tokenizer.from_file(BYTE_BPE), {}
+    for doc, text in pairs(planted):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        by_doc.setdefault(doc, []).append(ids)
+    windows, lengths = {}, {}
+    for r in P.pack(spark, planted, sf).collect():
+        piece = slice(r["start"], r["start"] + r["length"])
+        assert any(len(ids) == r["doc_tokens"] and zlib.crc32(ids[piece].tobytes()) == r["ids_crc32"] for ids in by_doc[r["doc_id"]])
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+    assert lengths == {doc: sum(map(len, texts)) for doc, texts in by_doc.items()}
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_a_text_is_judged_alone(spark, docs):
+    model = train(docs, PIECES)
+    few = docs.orderBy("doc_id").limit(20)
+    alone = rows(identify(few.repartition(20, "doc_id"), model), "lang_pred", "score")
+    assert alone == rows(identify(docs.coalesce(1), model).join(few.select("doc_id"), "doc_id"), "lang_pred", "score")
