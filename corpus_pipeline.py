@@ -9,15 +9,16 @@ ordered by id (none last).
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashgrid.llm.common import stored, table
-from crashgrid.llm.language_id import UNKNOWN, identify, train
+from crashgrid.llm.common import passing, stored, table
+from crashgrid.llm.language_id import UNKNOWN, train, verdict
 from crashgrid.llm.minhash import near_duplicates
 from crashgrid.llm.mixing import mix
 from crashgrid.llm.packing import pack_windows
 from crashgrid.llm.substring_dedup import repeated_passages
+from crashgrid.session import new_folder
 
 MIN_LANGUAGE_SCORE = 0.5
 
@@ -28,31 +29,33 @@ def _ids_tell_apart(docs: DataFrame) -> bool:
     return not odd.take(1)
 
 
-def _digest(docs: DataFrame) -> Column:
-    """Digest of a whole row; equal only for rows that are equal in every column."""
-    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one struct ``row``, so that no column of it can clash with a stage's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def _keyed(docs: DataFrame, once: bool = False) -> DataFrame:
-    """The rows with a number ``_key``: rows that are equal in every column share it, no others do.
+    """``key, row``: rows that are equal in every column share a number, no others do.
 
     Numbers grow with the id; rows without id come last. Ids that tell all rows apart are the numbers.
     ``once`` leaves one of the rows of a number.
     """
+    rows = _rows(docs)
     if _ids_tell_apart(docs):
-        return docs.withColumn("_key", F.col("doc_id"))
-    marked = docs.withColumn("_digest", _digest(docs))
-    marked = marked.dropDuplicates(["_digest"]) if once else marked
-    order = marked.select("doc_id", "_digest").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_digest")
-    numbers = stored(order.select("_digest", F.monotonically_increasing_id().alias("_key")), "keys")
-    return stored(marked.join(numbers, "_digest").drop("_digest"), "keyed")
+        return rows.select(F.col("row.doc_id").alias("key"), "row")
+    marked = rows.withColumn("digest", F.sha2(F.to_json("row"), 256))
+    marked = marked.dropDuplicates(["digest"]) if once else marked
+    order = marked.select(F.col("row.doc_id").alias("doc_id"), "digest").distinct()
+    order = order.orderBy(F.col("doc_id").asc_nulls_last(), "digest")
+    numbers = stored(order.select("digest", F.monotonically_increasing_id().alias("key")), "keys")
+    return stored(marked.join(numbers, "digest").select("key", "row"), "keyed")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language, or in none for sure. Every row is judged by its own text."""
     model = train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    found = identify(docs, model, carry=True)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    found = _rows(docs).withColumn("found", verdict(model)(F.col("row.text").cast("string")))
+    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +65,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     like any two documents, and so are rows without id.
     """
     rows = _keyed(docs, once=True)
-    kept = near_duplicates(rows, "_key").where("kept").select(F.col("doc_id").alias("_key"))
-    return rows.join(stored(kept, "kept"), "_key", "left_semi").select(docs.columns)
+    kept = near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key").where("kept")
+    return rows.join(stored(kept.select(F.col("doc_id").alias("key")), "kept"), "key", "left_semi").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,12 +76,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that are repeated in every column are the same document.
     """
     rows = _keyed(docs)
-    found = repeated_passages(rows, "_key").where("n_removed > 0")
-    found = stored(found.select(F.col("doc_id").alias("_key"), "kept").dropDuplicates(["_key"]), "passages")
-    rows = rows.join(found, "_key", "left")
-    text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    rows = rows.where(F.col("kept").isNull() | (F.col("kept") != "")).withColumn("text", text)
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    found = repeated_passages(rows.select("key", F.col("row.text").alias("text")), "key").where("n_removed > 0")
+    found = stored(found.select(F.col("doc_id").alias("key"), "kept").dropDuplicates(["key"]), "passages")
+    rows = rows.join(found, "key", "left").where(F.col("kept").isNull() | (F.col("kept") != ""))
+    text = F.coalesce("kept", "row.text")
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast("long"))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,17 +92,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is drawn for itself, also without id or beside others of its id; of rows that are repeated
     in every column all copies together are returned.
     """
-    labels = table(spark, sf_dir, "labels")
-    rows, key = docs, "doc_id"
-    if _ids_tell_apart(docs):
-        taken = mix(docs, labels)
-    else:
-        rows, key = docs.withColumn("_digest", _digest(docs)), "_digest"
-        taken = mix(rows, labels, row=key).select(F.col("row").alias(key), "copies")
-        rows = rows.dropDuplicates([key])
-    taken = stored(taken.where("copies > 0").groupBy(key).agg(F.sum("copies").alias("_copies")), "taken")
-    rows = rows.join(taken, key).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(docs.columns)
+    rows = _keyed(docs)
+    taken = mix(rows.select("key", "row.doc_id", "row.source", "row.text"), table(spark, sf_dir, "labels"), row="key")
+    taken = taken.where("copies > 0").groupBy(F.col("row").alias("key")).agg(F.sum("copies").alias("copies"))
+    rows = rows if _ids_tell_apart(docs) else rows.dropDuplicates(["key"])
+    rows = rows.join(stored(taken, "taken"), "key")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -113,13 +113,17 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Hash-based sampling and tokenizers have no SQL form; tests compare each stage with brute force.
+# Hash-based sampling and tokenizers have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+    """All stages over the table of documents. A stage's own tables go once its rows are written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline")
+    for _, stage in STAGES[:-1]:
+        path = new_folder(spark, "pipeline")
+        with passing(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
