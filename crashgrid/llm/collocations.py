@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crashgrid.llm.common import stored
@@ -211,7 +211,7 @@ def merged_stripes(rows: DataFrame, longest: int = LONGEST, least: int = LEAST)
     return reduce(DataFrame.unionByName, levels)
 
 
-def _phrase() -> F.Column:
+def _phrase() -> Column:
     return F.when(F.col("length") == 0, F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
 
 

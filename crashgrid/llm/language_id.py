@@ -26,7 +26,7 @@ UNKNOWN = "und"
 FOLDS = 5
 
 SAMPLE_PER_LANGUAGE = 500
-MAX_CACHED = 400_000
+MAX_CACHED = 100_000
 SLICE_BYTES = 1 << 22
 
 

@@ -82,7 +82,11 @@ def band_keys(signatures: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
+_SIGNED = "doc_id long, h1 long, h2 long, n_shingles long, digest binary, bands array<long>"
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _sign(rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -96,10 +100,10 @@ def _sign(rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()),
                     pa.array(keys[sizes > 0].reshape(-1)),
                 )
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                own = [batch.column(c) for c in ("doc_id", "h1", "h2")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), keyed],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    [*own, pa.array(sizes), pa.array([_digest(s) for s in sets], pa.binary()), keyed],
+                    ["doc_id", "h1", "h2", "n_shingles", "digest", "bands"],
                 )
 
     return sign
@@ -125,7 +129,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             steps = np.arange(len(sets) + 1, dtype=np.int32) * PARITY_LONGS
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    batch.column("id"),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(steps), pa.array(maps)),
                 ],
@@ -153,8 +157,11 @@ def near_duplicates(
 
     Words are runs of other than ASCII white space, A-Z lower-cased. Returns one row per row of
     ``docs``: ``doc_id, n_shingles, component_id, kept``; the smallest document of each component
-    is kept. Null and empty texts are linked with nothing. Documents with equal sets are one class
-    from the start; repeated rows of one ``doc_id`` are the same document.
+    is kept. Null and empty texts are linked with nothing, and kept. Documents with equal sets are one
+    class from the start. Rows are told apart by their texts: several texts of one ``doc_id`` are compared
+    like any others, each a node of its own, and equal rows get equal results. Rows without id take
+    part; ``component_id`` is null only where no document of the component has an id, and of such a
+    component the rows of one text (or one set of shingles) are kept.
 
     Candidates share a band. Every class is compared with the smallest class of any of its bands,
     then with the smallest of each band that is not yet in its component; these links already join
@@ -165,23 +172,24 @@ def near_duplicates(
     sets in shingles. No candidate is capped or dropped.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(similarity), "text")})  # which text it is
     signed = stored(rows.mapInArrow(_sign(*layout(similarity)), _SIGNED), "signatures")
-    classes = stored(
-        signed.where("n_shingles > 0")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands")),
-        "classes",
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(
+        F.min(F.struct("h1", "h2", "doc_id")).alias("one"), F.min("doc_id").alias("least"),
+        F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"),  # equal sets have equal bands
     )
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = classes.select("id", F.explode("bands").alias("band"))
     leaders = stored(
         members.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
         "leaders",
     )
     members = stored(members.join(leaders, "band").withColumnRenamed("id", "b"), "members")
-    wanted = stored(members.select(F.col("b").alias("doc_id")).distinct(), "wanted")
-    sets = rows.join(wanted, "doc_id", "left_semi")
+    wanted = stored(members.select(F.col("b").alias("id")).distinct(), "wanted")
+    wanted = classes.join(wanted, "id").select("id", F.col("one.doc_id").alias("_doc"), "one.h1", "one.h2")
+    sets = rows.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text")
     if _repeats(signed):
-        sets = sets.dropDuplicates(["doc_id"])
+        sets = sets.dropDuplicates(["id"])
     sets = stored(sets.mapInArrow(_sets, _SETS), "sets")
     near = (100 * F.col("both")) >= similarity * (F.col("size_a") + F.col("size_b") - F.col("both"))
     first = members.where("a <> b").groupBy("b").agg(F.min("a").alias("a"))
@@ -197,11 +205,18 @@ def near_duplicates(
         more = stored(_compare(rest, sets).where(near).select("a", "b"), "more")
         groups = components(links.unionByName(more))
 
-    known = classes.join(groups, "id", "left").select("digest", "copies", "id", F.coalesce("component", "id").alias("component_id"))
-    known = stored(known.where("copies > 1 or component_id <> id").select("digest", "component_id"), "known")
-    component = F.coalesce("component_id", "doc_id")
+    linked = groups.select("id", "component").unionByName(groups.select(F.col("component").alias("id"), "component").distinct())
+    linked = stored(linked.join(classes.select("id", "digest", "one", "least"), "id"), "linked")
+    named = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.min("one").alias("first"))
+    named = linked.join(named, "component").select("digest", "component_id", (F.col("one") == F.col("first")).alias("leads"))
+    alone = classes.where("copies > 1").join(linked.select("digest"), "digest", "left_anti")
+    alone = alone.select("digest", F.col("least").alias("component_id"), F.lit(True).alias("leads"))
+    known = stored(named.unionByName(alone).withColumn("known", F.lit(True)), "known")
+    component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
+    nameless = F.col("component_id").isNull() & F.coalesce("leads", F.lit(True))
+    kept = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("doc_id") == component)
     return signed.join(known, "digest", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")
     )
 
 
@@ -215,8 +230,8 @@ def _apart(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _repeats(signed: DataFrame) -> bool:
-    """Does a ``doc_id`` come twice?"""
-    return bool(signed.groupBy("doc_id").count().where("count > 1").take(1))
+    """Does a text come twice under one ``doc_id``?"""
+    return bool(signed.groupBy("doc_id", "h1", "h2").count().where("count > 1").take(1))
 
 
 def _between(

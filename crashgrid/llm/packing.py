@@ -27,6 +27,7 @@ WINDOWS = 64  # windows of a group
 PIECE = 256  # longest piece that is balanced
 FINE = 16  # longest piece once a group is nearly full; short pieces even out the last differences
 SLACK = 12  # tokens left free per window, so that near-equal windows fit
+SLICE_BYTES = 1 << 22  # of text that is encoded at once
 
 
 def difference(sizes: list[int], parts: int) -> list[list[int]]:
@@ -135,7 +136,7 @@ def _pack(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, spaced=True)
         packer = _Packer(TaskContext.get().partitionId(), capacity)
-        for doc, ids in encoded(batches, encoder, END):
+        for doc, ids in encoded(batches, encoder, END, SLICE_BYTES):
             packer.add(doc, ids)
             if len(packer.rows) > 10_000:
                 yield packer.taken()

@@ -150,7 +150,7 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.count(value))]
 
 
-_FILES = "part int, shard int, first_doc long, docs long, tokens long, data binary"
+_FILES = "part int, shard int, first_doc long, docs long, nameless long, tokens long, data binary"
 
 
 def _write(path: str, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -164,10 +164,11 @@ def _write(path: str, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]],
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in held], np.int64)
             ids = np.frombuffer(b"".join(held), "<u4")
-            numbers = np.array([-1 if d is None else d for d in docs], np.int64)
+            numbers = np.array([0 if d is None else d for d in docs], np.int64)
             data = WaveletMatrix.build(ids, numbers, lengths).to_bytes()
-            values = [[part], [shard], [docs[0]], [len(docs)], [len(ids)], [data]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            nameless = sum(d is None for d in docs)  # the first ones of the shard
+            values = [[part], [shard], [docs[0]], [len(docs)], [nameless], [len(ids)], [data]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = [c.split()[0] for c in _FILES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
@@ -192,7 +193,7 @@ def write_token_files(
 
     ``tokenizer`` is the file of a word-level BPE vocabulary that drops white space. Every
     document, also a null or empty one, ends with id 1; repeated rows are written each; rows
-    without id come first, as document -1. Texts are range-partitioned by id, encoded
+    without id come first and stay without. Texts are range-partitioned by id, encoded
     and written in one stage; a task holds one shard of about ``shard_tokens`` ids at a time.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -205,7 +206,7 @@ _READ = "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 lon
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, shard, data in zip(batch.column("part"), batch.column("shard"), batch.column("data"), strict=True):
+        for part, shard, nameless, data in zip(*(batch.column(c) for c in ("part", "shard", "nameless", "data")), strict=True):
             matrix = WaveletMatrix.from_bytes(data.as_py())
             ids = memoryview(matrix.to_array().astype("<u4").tobytes())
             ends = np.cumsum(matrix.lengths)
@@ -216,7 +217,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.full(n, part.as_py(), np.int32)),
                     pa.array(np.full(n, shard.as_py(), np.int32)),
-                    pa.array(matrix.doc_ids),
+                    pa.array(matrix.doc_ids, mask=np.arange(n) < nameless.as_py()),
                     pa.array(at),
                     pa.array(matrix.lengths),
                     pa.array(sums, pa.int64()),
@@ -240,7 +241,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     starts = sizes.join(parts, "part").select(
         "part", "shard", (F.col("_before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).alias("_start")
     )
-    docs = files.select("part", "shard", "data").mapInArrow(_read, _READ)
+    docs = files.select("part", "shard", "nameless", "data").mapInArrow(_read, _READ)
     return docs.join(starts, ["part", "shard"]).select(
         "doc_id", (F.col("_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
     )

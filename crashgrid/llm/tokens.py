@@ -176,10 +176,12 @@ def _gather(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.
     return flat[shift + np.arange(len(shift))], counts
 
 
-def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, end: bytes) -> Iterator[tuple[int | None, bytes]]:
-    """Document id and ids, with the end id, of the ``doc_id, text`` rows of a task."""
+def encoded(
+    batches: Iterator[pa.RecordBatch], encoder: Encoder, end: bytes, most: int = SLICE_BYTES
+) -> Iterator[tuple[int | None, bytes]]:
+    """Document id and ids, with the end id, of the ``doc_id, text`` rows of a task; ``most`` bytes of text at once."""
     for whole in batches:
-        for batch in slices(whole, "text", SLICE_BYTES):
+        for batch in slices(whole, "text", most):
             ids, starts = encoder.encode_column(batch.column("text"))
             data = memoryview(ids.tobytes())
             docs = batch.column("doc_id").to_pylist()

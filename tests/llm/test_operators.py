@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -20,7 +21,7 @@ import brute  # noqa: E402
 
 from crashgrid.llm import sql  # noqa: E402
 from crashgrid.llm.common import stored  # noqa: E402
-from crashgrid.llm.fingerprints import fingerprints  # noqa: E402
+from crashgrid.llm.fingerprints import differing, fingerprints  # noqa: E402
 from crashgrid.llm.language_id import identify, train  # noqa: E402
 from crashgrid.llm.minhash import near_duplicates  # noqa: E402
 from crashgrid.llm.mixing import mix  # noqa: E402
@@ -116,14 +117,36 @@ def test_groups_that_only_chains_connect(spark):
     assert rows(near_duplicates(frame, similarity=85), "n_shingles", "component_id") == brute.near_duplicates(chain, 85)
 
 
+def test_near_duplicates_at_the_registered_similarity(table):
+    assert rows(near_duplicates(table, similarity=85), "n_shingles", "component_id") == brute.near_duplicates(pairs(table), 85)
+
+
+def test_near_duplicates_of_rows_without_id_and_texts_that_share_one(spark):
+    w, v = " ".join(prose(31, 60)), " ".join(prose(32, 60))
+    given = [(None, w), (None, w + " tail"), (1, w), (2, "x y"), (2, w + " more"), (3, None), (None, ""),
+             (None, v), (None, v), (None, v + " end"), (4, " ".join(prose(33, 20))), (4, " ".join(prose(33, 20)))]
+    frame = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    got = near_duplicates(frame, similarity=85).collect()
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["n_shingles"] not in (56, 57) or r["component_id"])
+    assert found == [
+        (False, 1, 56, 1, True), (False, 2, 1, 2, True), (False, 2, 57, 1, False), (False, 3, 0, 3, True),
+        (False, 4, 16, 4, True), (False, 4, 16, 4, True), (True, 0, 0, None, True), (True, 0, 56, 1, False), (True, 0, 57, 1, False)]
+    nameless = [(r["n_shingles"], r["kept"]) for r in got if r["doc_id"] is None and r["component_id"] is None and r["n_shingles"]]
+    assert sorted(n for n, _ in nameless) == [56, 56, 57]
+    assert {n for n, kept in nameless if kept} in ({56}, {57}) and len({k for n, k in nameless if n == 56}) == 1
+
+
 def test_repeated_passages(table):
     assert rows(repeated_passages(table), "n_words", "n_removed", "kept_sha256") == brute.repeated_passages(pairs(table))
 
 
 @pytest.mark.parametrize("crowded", [20_000, 1])
 def test_repeated_strings(table, crowded):
-    result = repeated_strings(table, crowded=crowded).drop("kept")
-    assert sorted((tuple(r) for r in result.collect()), key=str) == brute.repeated_strings(pairs(table))
+    result = repeated_strings(table, crowded=crowded).drop("kept").collect()
+    four = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r[c] for c in four) for r in result), key=str) == brute.repeated_strings(pairs(table))
+    for r in result:
+        assert r["n_kept"] == r["n_bytes"] - r["n_removed"] and r["removed_share"] == pytest.approx(r["n_removed"] / max(r["n_bytes"], 1))
 
 
 def test_repeated_rows_are_copies(spark):
@@ -209,6 +232,39 @@ def test_fingerprints(table):
         assert prints.setdefault(text, got[doc][4]) == got[doc][4]
 
 
+def test_fingerprints_lose_no_row(spark):
+    given = [(None, "a"), (None, "b"), (1, "c"), (1, "d\ne"), (1, "d\ne"), (2, None), (2, "")]
+    got = fingerprints(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == [(0, 1), (0, 1), (1, 1), (1, 3), (1, 3), (2, 0), (2, 0)]
+    order = sorted({(d or 0, hashlib.sha256((t or "").encode()).hexdigest(), t or "") for d, t in given})
+    nexts = {(d, t): order[(i + 1) % len(order)][2] for i, (d, _, t) in enumerate(order)}
+    edited = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + nexts[d, t][: len(t) // 2]).encode()).hexdigest()
+                    for d, t in ((d or 0, t or "") for d, t in given))
+    assert sorted(r["edited_sha256"] for r in got) == edited
+    assert len({(r["doc_id"], r["fingerprint"]) for r in got}) == 5
+
+
+@pytest.mark.parametrize("shared, apart", [(0, 0), (0, 3), (500, 1), (40, 90), (0, 700), (3000, 400)])
+def test_sketches_give_back_the_digests_that_differ(spark, shared, apart):
+    draw = random.Random(shared + apart)
+    numbers = [draw.randrange(-(1 << 63), 1 << 63) for _ in range(shared + 2 * apart)]
+    a, b = numbers[: shared + apart], numbers[:shared] + numbers[shared + apart :]
+    frame = spark.createDataFrame([(1, a, b), (2, a, a), (3, [], b)], "id long, a array<long>, b array<long>")
+    got = {r["id"]: r for r in differing(frame, ["id"]).collect()}
+    assert sorted(got[1]["only_a"]) == sorted(set(a) - set(b)) and sorted(got[1]["only_b"]) == sorted(set(b) - set(a))
+    assert got[2]["only_a"] == got[2]["only_b"] == [] and sorted(got[3]["only_b"]) == sorted(b) and got[3]["only_a"] == []
+    assert got[2]["cells"] == 8 and got[1]["cells"] * 3 >= 2 * apart
+
+
+def test_long_texts_take_seconds(spark):
+    lines = lambda word: "\n".join(f"{word} {i}" for i in range(20_000))
+    frame = spark.createDataFrame([(1, lines("one")), (2, lines("two"))], "doc_id long, text string")
+    began = time.time()
+    first, second = fingerprints(frame).orderBy("doc_id").collect()
+    assert first["near_next"] == second["near_next"] == 0.0 and 0.2 < first["near_edited"] < 0.6
+    assert time.time() - began < 120
+
+
 def tokens(file, frame):
     tokenizer = Tokenizer.from_file(file)
     return {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in pairs(frame)}
@@ -222,6 +278,12 @@ def test_token_files(table, folder):
         at += len(wanted[doc])
 
 
+def test_token_files_of_rows_without_id(spark, folder):
+    frame = spark.createDataFrame([(None, "b"), (None, "a"), (-1, "c d"), (0, None), (0, "e")], "doc_id long, text string")
+    got = token_files(frame, WORD_BPE, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, -1, 0, 0] and got[-2]["n_tokens"] == 1
+
+
 def test_packing(table):
     wanted, windows, pieces = tokens(BYTE_BPE, table), {}, {}
     for r in pack_windows(table, BYTE_BPE).collect():

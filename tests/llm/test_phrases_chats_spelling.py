@@ -218,7 +218,7 @@ def spelling_rows():
             if k == 6 and len(v) > 6:
                 del v[draw.randrange(len(v))]
             words += ["".join(v).title() if k % 2 else "".join(v)] * k
-    words += ["chaina"] * 5 + ["chainb"] * 30 + ["chainbc"] * 160 + ["chainbcd"] * 900
+    words += ["chaina"] * 8 + ["chainb"] * 60 + ["chainbc"] * 400 + ["chainbcd"] * 2600
     draw.shuffle(words)
     rows = [(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(len(words) // 20 + 1)]
     return rows + [(None, "receive receive " * 5), (None, None), (900, ""), (901, "x" * 3000 + " " + "x" * 3001), (901, "x" * 3000), (902, "a1b2 ×÷ÃĀreceive")] + rows[:9]
