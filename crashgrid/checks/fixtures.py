@@ -11,6 +11,8 @@ from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crashgrid import schemas as S
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["fx_crashes"] = """
@@ -208,7 +210,8 @@ SELECT CAST(user_id AS BIGINT) AS id, concat('Job ', CAST(user_id AS STRING)) AS
 FROM (SELECT DISTINCT user_id FROM $events) u
 """
 
-# Features of an uploaded layer, one per customer, in five property styles.
+# Features of an uploaded layer, one per customer, in five property styles. Beyond the first hundred come a
+# property of its own and titles without a digit.
 VIEWS["fx_layer_features"] = """
 SELECT CAST(c_custkey AS BIGINT) AS id, 1 AS layer_id,
        CASE c_custkey % 6
@@ -216,11 +219,47 @@ SELECT CAST(c_custkey AS BIGINT) AS id, 1 AS layer_id,
             WHEN 1 THEN concat('{"ward":', CAST(c_custkey AS STRING), '.0}')
             WHEN 2 THEN concat('{"COMMUNITY":"', c_mktsegment, '"}')
             WHEN 3 THEN concat('{"name":"","district":0,"objectid":', CAST(c_custkey AS STRING), '}')
-            WHEN 4 THEN concat('{"title":"item', CAST(c_custkey % 30 AS STRING), ' b', CAST(c_custkey AS STRING), '"}')
-            ELSE '{}' END AS properties
+            WHEN 4 THEN CASE WHEN c_custkey > 120 THEN '{"title":"item b"}'
+                 ELSE concat('{"title":"item', CAST(c_custkey % 30 AS STRING), ' b', CAST(c_custkey AS STRING), '"}') END
+            ELSE CASE WHEN c_custkey > 120 THEN concat('{"late":"', c_mktsegment, '"}') ELSE '{}' END END AS properties
 FROM $customer
 """
 
+# Raw records with every field a feed can have; each text comes in every field sooner or later.
+WHOLE_RECORDS = {
+    "crashes": ("orders", "o_orderkey", "o_orderdate", [
+        "crash_record_id", "latitude", "longitude", *S.CRASH_INTEGERS, *S.CRASH_STRINGS]),
+    "people": ("lineitem", "l_orderkey + 7 * l_linenumber", "l_shipdate", [
+        "crash_record_id", "person_id", "vehicle_id", "age", "bac_result_value", *S.PERSON_STRINGS, *S.PERSON_AREA_FLAGS]),
+    "vehicles": ("lineitem", "l_partkey + 3 * l_linenumber", "l_shipdate", [
+        "crash_unit_id", "crash_record_id", "unit_no", "vehicle_year", *S.VEHICLE_INTEGERS, *S.VEHICLE_STRINGS]),
+    "fatalities": ("orders", "o_custkey + o_orderkey", "o_orderdate", [
+        "person_id", "rd_no", "latitude", "longitude", *S.FATALITY_TEXTS, "victim"]),
+}
+WHOLE_DATES = {"crashes": ("crash_date", "date_police_notified"), "people": ("crash_date",), "vehicles": ("crash_date",),
+               "fatalities": ("crash_date",)}
+_TEXTS = ("' 12 '", "'3.9'", "'UNK'", "'null'", "'  A   B  '", "''", "NULL", "'41.75'", "'-87.6'", "'1999'", "'+1_0e1'",
+          "'n/a'", "'ZONE 5'")
+
+
+def _whole_record(base: str, key: str, day: str, columns: list[str], dates: tuple[str, ...]) -> str:
+    def text(i: int) -> str:
+        cases = " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(_TEXTS))
+        return f"CASE ({key} + {i}) % {len(_TEXTS)} {cases} END"
+
+    def moment(i: int) -> str:
+        plain = f"CAST(CAST({day} AS DATE) AS STRING)"
+        return (f"CASE ({key} + {i}) % 5 WHEN 0 THEN concat(' ', {plain}, 'T12:30:00.000') WHEN 1 THEN {plain} "
+                f"WHEN 2 THEN '01/02/2024 01:30:00 PM' WHEN 3 THEN concat({plain}, ' 25:00:00') ELSE 'UNKNOWN' END")
+
+    fields = [f"{text(i)} AS {name}" for i, name in enumerate(columns)]
+    fields += [f"{moment(i)} AS {name}" for i, name in enumerate(dates)]
+    return f"SELECT {', '.join(fields)} FROM ${base}"
+
+
+for _dataset, (_base, _key, _day, _columns) in WHOLE_RECORDS.items():
+    VIEWS[f"fx_whole_{_dataset}"] = _whole_record(_base, _key, _day, _columns, WHOLE_DATES[_dataset])
+
 _BASE = re.compile(r"\$(\w+)")
 _VIEW = re.compile(r"\b(fx_\w+)\b")
 

@@ -6,7 +6,8 @@ per edge or as rectangles, upserts as set operations, and cleaning with DuckDB's
 
 from __future__ import annotations
 
-from crashgrid.checks.fixtures import with_views
+from crashgrid import schemas as S
+from crashgrid.checks.fixtures import WHOLE_DATES, WHOLE_RECORDS, with_views
 from crashgrid.checks.queries import (
     AMENDED_FROM,
     AS_OF,
@@ -14,6 +15,7 @@ from crashgrid.checks.queries import (
     END,
     GRID_BOX,
     JOBS_AS_OF,
+    LISTED,
     LOADED_BEFORE,
     NEAR_METERS,
     NOW,
@@ -87,7 +89,7 @@ WHERE longitude IS NOT NULL AND latitude IS NOT NULL AND {IN_DATES} {NEWEST} LIM
 
 add("crashes_by_date_range", ("fx_crashes",), f"""
 SELECT crash_record_id, {text_time('crash_date')} AS crash_date, longitude, latitude FROM fx_crashes
-WHERE longitude IS NOT NULL AND latitude IS NOT NULL AND {IN_DATES} {NEWEST} LIMIT 50000""")
+WHERE longitude IS NOT NULL AND latitude IS NOT NULL AND {IN_DATES}""")
 
 
 def json_string(column: str) -> str:
@@ -243,6 +245,15 @@ add("remove_duplicates", ("fx_raw_fatalities",), f"""
 , c AS ({FATALITY}), r AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY ingest_seq) AS n
  FROM c WHERE person_id IS NOT NULL AND person_id <> '')
 SELECT person_id, rd_no, latitude, crash_location, victim, ingest_seq FROM r WHERE n = 1""")
+BY_KIND = {
+    "latitude": lambda c: bounded(number(c), 41.6, 42.1), "longitude": lambda c: bounded(number(c), -87.95, -87.5),
+    "age": lambda c: bounded(integer(c), 0, 120), "vehicle_year": lambda c: bounded(integer(c), 1900, 2025),
+    "bac_result_value": number, **dict.fromkeys((*S.CRASH_INTEGERS, *S.VEHICLE_INTEGERS), integer),
+}
+for dataset, (_, _, _, columns) in WHOLE_RECORDS.items():
+    fields = [f"{BY_KIND.get(c, cleaned)(c)} AS {c}" for c in columns]
+    fields += [f"{text_time(moment(c))} AS {c}" for c in WHOLE_DATES[dataset]]
+    add(f"sanitize_{dataset}_whole", (f"fx_whole_{dataset}",), f"SELECT {', '.join(fields)} FROM fx_whole_{dataset}")
 ORACLES["clean_text"] = f"""
 SELECT doc_id, md5({cleaned('text')}) AS digest, CAST(length({cleaned('text')}) AS INT) AS n
 FROM documents"""
@@ -513,6 +524,22 @@ add("sync_crashes", ("fx_raw_crashes",), f"""
  {LAT} AS latitude, {LON} AS longitude, {integer('injuries_total')} AS injuries_total FROM fx_raw_crashes)
 SELECT *, 'AMENDED ST' AS street_name, '{NOW}' AS created_at FROM s
 WHERE crash_record_id IS NOT NULL AND crash_date IS NOT NULL""")
+USABLE = f""", s AS (SELECT {cleaned('crash_record_id')} AS crash_record_id, {text_time(moment('crash_date'))} AS crash_date,
+ {integer('injuries_total')} AS injuries_total, ingest_seq AS k FROM fx_raw_crashes),
+ u AS (SELECT * FROM s WHERE crash_record_id IS NOT NULL AND crash_date IS NOT NULL)"""
+add("sync_incremental", ("fx_raw_crashes",), f"""{USABLE}
+SELECT crash_record_id, crash_date, injuries_total,
+ concat('v', CAST(CASE WHEN k % 2 = 0 THEN 2 ELSE greatest(k % 3, (k + 1) % 3) END AS VARCHAR), ' st') AS street_name FROM u""")
+add("sync_unsequenced", ("fx_raw_crashes",), f"""{USABLE}
+SELECT crash_record_id, crash_date, injuries_total,
+ CASE k % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'third' ELSE 'second' END AS street_name FROM u""")
+add("sync_progress", ("fx_raw_crashes",), f"""{USABLE},
+ t AS (SELECT (SELECT count(*) FROM s) AS rows, (SELECT count(*) FROM s WHERE k % 2 = 0) AS even_rows,
+  (SELECT count(*) FROM u) AS good, (SELECT count(*) FROM u WHERE k % 2 = 0) AS even_good)
+SELECT 'crashes' AS dataset, CAST(0 AS BIGINT) AS batch_id, even_rows AS fetched, even_good AS inserted,
+ CAST(0 AS BIGINT) AS updated, even_rows - even_good AS skipped, CAST(0 AS BIGINT) AS repeated FROM t
+UNION ALL SELECT 'crashes', 1, rows, good - even_good, even_good, rows - good, 0 FROM t
+UNION ALL SELECT 'crashes', 2, rows, 0, 0, rows - good, good FROM t""")
 add("sync_totals", ("fx_raw_people",), f"""
 , w AS (SELECT {cleaned('person_id')} AS person_id FROM fx_raw_people
  WHERE crash_date >= '1997-01-01T00:00:00' AND crash_date < '1999-12-31T23:59:59')
@@ -537,7 +564,7 @@ SELECT CAST(1 AS INT) AS id, 'Ward  Map #1!' AS name, 'ward-map-1' AS slug, 'MUL
  CAST(4326 AS INT) AS srid, (SELECT count(*) FROM u) AS feature_count, TRUE AS is_active,
  (SELECT CASE WHEN avg(CASE WHEN regexp_matches(n, '[0-9]') THEN 1e0 ELSE 0e0 END) >= 0.8e0
    THEN 'numeric' ELSE 'alphabetic' END FROM (SELECT json_extract_string(properties, '$.name') AS n
-   FROM (SELECT * FROM u ORDER BY id LIMIT 100) f) q WHERE n IS NOT NULL) AS sort_type,
+   FROM u) q WHERE n IS NOT NULL) AS sort_type,
  NULL AS original_filename
 UNION ALL SELECT 2, 'Second', 'second', 'MULTIPOLYGON', 3435, (SELECT count(*) FROM u), FALSE, 'natural',
  'second.geojson'""")
@@ -570,18 +597,28 @@ NAMED = """, n AS (SELECT CAST(id AS VARCHAR) AS id, {label} CASE CAST(id AS BIG
 SELECT id, name, name AS display_name FROM n"""
 for name in ("layer_items_alphabetic", "layer_items_numeric", "layer_items_natural"):
     add(name, ("fx_layer_features",), NAMED.format(label="", end=""))
-FIRST = ", f AS (SELECT * FROM fx_layer_features ORDER BY id LIMIT 100)"
+PARTS = r"string_split_regex(lower(name), '\d+')"
+RUNS = r"list_transform(regexp_extract_all(name, '\d+'), lambda x: ltrim(x, '0'))"
+ORDERS = {
+    "alphabetic": "lower(name), name, id",
+    "numeric": r"coalesce(TRY_CAST(nullif(regexp_extract(name, '\d+'), '') AS DOUBLE), 'inf'::DOUBLE), name, id",
+    "natural": ", ".join(f"coalesce({PARTS}[{i}], ''), coalesce(length({RUNS}[{i}]), -1), {RUNS}[{i}]" for i in (1, 2, 3)) + ", name, id",
+}
+for name, order in ORDERS.items():
+    add(f"layer_page_{name}", ("fx_layer_features",), NAMED.format(label="", end="").replace(
+        "SELECT id, name, name AS display_name FROM n",
+        f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position, id, name FROM n QUALIFY position <= {LISTED}"))
+EVERY = ", f AS (SELECT * FROM fx_layer_features)"
 KEYS = """, k AS (SELECT id, unnest(json_keys(properties)) AS name, properties FROM f),
  kv AS (SELECT id, name, json_extract_string(properties, concat('$."', name, '"')) AS value FROM k),
  d AS (SELECT name, value, min(id) AS id FROM kv WHERE value IS NOT NULL GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM d)"""
-add("layer_fields", ("fx_layer_features",), f"""{FIRST}{KEYS}
+add("layer_fields", ("fx_layer_features",), f"""{EVERY}{KEYS}
 SELECT name, string_agg(value, '|' ORDER BY n) AS samples, name = 'name' AS suggested
 FROM r WHERE n <= 3 GROUP BY name""")
 add("layer_field_names", ("fx_layer_features",), """
-, f AS (SELECT * FROM fx_layer_features ORDER BY id LIMIT 10)
-SELECT DISTINCT unnest(json_keys(properties)) AS name FROM f""")
-add("layer_sort_type", ("fx_layer_features",), f"""{FIRST}
+SELECT DISTINCT unnest(json_keys(properties)) AS name FROM fx_layer_features""")
+add("layer_sort_type", ("fx_layer_features",), f"""{EVERY}
 , l AS (SELECT label_field, json_extract_string(properties, concat('$."', label_field, '"')) AS v
  FROM f, (VALUES ('ward'), ('COMMUNITY'), ('name'), ('title')) AS t(label_field))
 SELECT label_field, CASE WHEN avg(CASE WHEN regexp_matches(v, '[0-9]') THEN 1e0 ELSE 0e0 END) >= 0.8e0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,8 @@ from crashgrid.plans import location_report as R
 from crashgrid.session import new_folder
 from crashgrid.sources import exports, feeds, geojson
 from crashgrid.sources.tables import warehouse_table
-from crashgrid.streaming.sync import sync
+from crashgrid.streaming.sync import sync, sync_batches
+from crashgrid.streaming.sync import sync_incremental as sync_incremental_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -304,6 +305,20 @@ def sanitize_fatalities(spark, sf):
     )
 
 
+def _sanitize_whole(dataset: str):
+    """All cleaned columns of whole records."""
+
+    def run(spark, sf):
+        return times_as_text(sanitize(dataset, view(spark, sf, f"fx_whole_{dataset}")))
+
+    run.__name__ = f"sanitize_{dataset}_whole"
+    return run
+
+
+for _dataset in ("crashes", "people", "vehicles", "fatalities"):
+    query(_sanitize_whole(_dataset))
+
+
 @query
 def clean_text(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
@@ -674,6 +689,62 @@ def sync_crashes(spark, sf):
     )
 
 
+def _landings(spark, *landings) -> str:
+    """Landings of a feed, each in a folder of its own, written in the order given."""
+    path = new_folder(spark, "feed")
+    for name, rows in landings:
+        feeds.land(rows.repartition(2, "crash_record_id"), f"{path}/{name}")
+    return path
+
+
+def _stored_streets(spark, warehouse):
+    rows = warehouse_table(spark, warehouse, S.CRASHES).read()
+    return times_as_text(rows.select("crash_record_id", "crash_date", "injuries_total", "street_name"))
+
+
+@query
+def sync_incremental(spark, sf):
+    """Three runs over a growing landing; change stamps, not landings, tell which record is the newest."""
+    raw, key = view(spark, sf, "fx_raw_crashes"), F.col("ingest_seq")
+    path, warehouse = new_folder(spark, "feed"), new_folder(spark, "warehouse")
+    for n in range(3):
+        version = (key + n) % 3
+        landed = raw.where((F.lit(n) < 2) | (key % 2 == 0)).withColumns({
+            "street_name": F.concat(F.lit("v"), version.cast("string"), F.lit("  st")),
+            feeds.UPDATED_AT: F.concat(F.lit("2024-01-0"), (version + 1).cast("string"), F.lit("T00:00:00.000")),
+        })
+        feeds.land(landed.drop("ingest_seq").repartition(3, "crash_record_id"), f"{path}/{n}")
+        sync_incremental_run(spark, f"{path}/*", "crashes", warehouse, clock=lambda: NOW)
+    return _stored_streets(spark, warehouse)
+
+
+@query
+def sync_unsequenced(spark, sf):
+    """Amendments without sequence or stamp, landed in reverse, one file a batch: the later file stands."""
+    raw, key = view(spark, sf, "fx_raw_crashes"), F.col("ingest_seq")
+    street = lambda rows, name: rows.withColumn("street_name", F.lit(name))
+    path = _landings(
+        spark,
+        ("2", street(raw.where(key % 3 == 1), "third").drop("ingest_seq")),
+        ("1", street(raw.where(key % 3 != 0), "second").drop("ingest_seq")),
+        ("0", street(raw, "first")),
+    )
+    warehouse = new_folder(spark, "warehouse")
+    sync(spark, {"crashes": f"{path}/*"}, warehouse, new_folder(spark, "checkpoints"), clock=lambda: NOW, files_per_batch=1)
+    return _stored_streets(spark, warehouse)
+
+
+@query
+def sync_progress(spark, sf):
+    """Counts of three runs over a growing landing: new rows, amended ones, older ones again."""
+    raw, key = view(spark, sf, "fx_raw_crashes"), F.col("ingest_seq")
+    path, warehouse, checkpoints = (new_folder(spark, n) for n in ("feed", "warehouse", "checkpoints"))
+    for n, rows in enumerate((raw.where(key % 2 == 0), raw.withColumn("ingest_seq", key + 1_000_000_000), raw)):
+        feeds.land(rows.repartition(3, "crash_record_id"), f"{path}/{n}")
+        sync(spark, {"crashes": f"{path}/*"}, warehouse, checkpoints, clock=lambda: NOW, files_per_batch=100)
+    return sync_batches(spark, warehouse).drop("stream")
+
+
 @query
 def sync_totals(spark, sf):
     """Totals of a refresh job that reads only its own window of the people feed."""
@@ -794,6 +865,25 @@ def layer_items_natural(spark, sf):
     return places.layer_items(view(spark, sf, "fx_layer_features"), "title", sort_type="natural")
 
 
+LISTED = 200
+
+
+def _layer_page(sort_type: str):
+    """The first page of a layer's listing with the place of each item, which shows the sort order."""
+
+    def run(spark, sf):
+        items = places.layer_items(view(spark, sf, "fx_layer_features"), sort_type=sort_type).limit(LISTED)
+        order = Window.orderBy(*L.sort_columns("name", sort_type), "id")
+        return items.select(F.row_number().over(order).alias("position"), "id", "name")
+
+    run.__name__ = f"layer_page_{sort_type}"
+    return run
+
+
+for _sort_type in ("alphabetic", "numeric", "natural"):
+    query(_layer_page(_sort_type))
+
+
 @query
 def layer_fields(spark, sf):
     profile = layers.profile_fields(view(spark, sf, "fx_layer_features"))

@@ -104,8 +104,11 @@ NATIVE_PLACES = {
 # --- end of fixed values ----------------------------------------------------
 
 
-#: Landing sequence of a feed row; stored with the row, so that an older one never replaces it.
-SEQUENCE = "ingest_seq"
+#: What the version of a row is made of, most telling part first: the feed's own change stamp, the
+#: landing sequence, the file it was landed in. Stored with the row, so that an older one never replaces it.
+UPDATED_AT = ":updated_at"
+CHANGED, SEQUENCE, LANDED = "_changed", "ingest_seq", "_landed"
+VERSION = (CHANGED, SEQUENCE, LANDED)
 
 
 @dataclass(frozen=True)
@@ -122,8 +125,8 @@ class TableSpec:
 
     @property
     def schema(self) -> T.StructType:
-        """Declared columns, the two audit columns and the sequence of the stored row."""
-        return T.StructType.fromDDL(f"{self.ddl}, {self.audit_ddl}, {SEQUENCE} BIGINT")
+        """Declared columns, the two audit columns and the version of the stored row."""
+        return T.StructType.fromDDL(f"{self.ddl}, {self.audit_ddl}, {CHANGED} STRING, {SEQUENCE} BIGINT, {LANDED} STRING")
 
     @property
     def columns(self) -> list[str]:
@@ -229,5 +232,5 @@ RUN_METRICS_DDL = (
 
 def raw_schema(spec: TableSpec) -> T.StructType:
     """Landing schema of a feed: every declared column as text."""
-    names = [*spec.columns, SEQUENCE, ":updated_at"]
+    names = [*spec.columns, SEQUENCE, UPDATED_AT]
     return T.StructType([T.StructField(n, T.StringType()) for n in names])

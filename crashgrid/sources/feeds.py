@@ -12,7 +12,7 @@ from crashgrid import schemas as S
 from crashgrid.functions.predicates import all_of
 
 PAGE_ROWS = 50_000
-UPDATED_AT = ":updated_at"
+UPDATED_AT = S.UPDATED_AT
 
 
 def scan_feed(

@@ -12,7 +12,7 @@ from crashgrid import schemas as S
 from crashgrid.functions.windows import sync_window
 from crashgrid.sources import exports, feeds
 from crashgrid.sources.tables import warehouse_table
-from crashgrid.streaming.sync import sync
+from crashgrid.streaming.sync import sync, sync_incremental
 
 NOW = datetime(2024, 5, 1)
 
@@ -147,3 +147,95 @@ def test_the_newer_record_stays_whichever_file_is_read_first(spark, folder, per_
     assert [r["street_name"] for r in table.read().collect()] == ["new"]
     start(spark, folder, per_batch=per_batch)
     assert [r["street_name"] for r in table.read().collect()] == ["newest"]
+
+
+def stamped(spark, *rows):
+    return spark.createDataFrame(list(rows), f"crash_record_id STRING, crash_date STRING, street_name STRING, `{feeds.UPDATED_AT}` STRING")
+
+
+def streets(spark, folder):
+    table = warehouse_table(spark, f"{folder}/warehouse", S.CRASHES)
+    return sorted(tuple(r) for r in table.read().select("crash_record_id", "street_name").collect())
+
+
+def increment(spark, folder, whole=False):
+    return sync_incremental(spark, f"{folder}/feed/*", "crashes", f"{folder}/warehouse", lambda: NOW, whole=whole)
+
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_change_stamps_decide_in_any_file_order(spark, folder, per_batch):
+    feeds.land(stamped(spark, ("A", "2024-01-01", "new", "2024-01-05T00:00:00")).coalesce(1), f"{folder}/feed/0")
+    feeds.land(stamped(spark, ("A", "2024-01-01", "old", "2024-01-02T00:00:00"), ("B", "2024-01-01", "b", None)).coalesce(1), f"{folder}/feed/1")
+    totals = start(spark, folder, per_batch=per_batch).first()
+    assert streets(spark, folder) == [("A", "new"), ("B", "b")]
+    assert (totals["inserted"], totals["updated"], totals["repeated"]) == (2, 0, 1)
+
+
+def test_without_sequence_the_last_line_of_a_file_stands(spark, folder):
+    lines = [(key, "2024-01-01", f"{word} {key}", None) for word in ("old", "new") for key in ("A", "B", "C", "D")]
+    feeds.land(stamped(spark, *lines).coalesce(1), f"{folder}/feed/0")
+    start(spark, folder)
+    assert streets(spark, folder) == [(k, f"new {k}") for k in "ABCD"]
+
+
+def test_an_amendment_without_sequence_replaces_a_row_that_has_one(spark, folder):
+    feeds.land(raw(spark, ("A", "2024-01-01", "first", 7)).coalesce(1), f"{folder}/feed/0")
+    start(spark, folder)
+    feeds.land(stamped(spark, ("A", "2024-01-01", "amended", None)).drop(feeds.UPDATED_AT).coalesce(1), f"{folder}/feed/1")
+    totals = start(spark, folder).first()
+    assert streets(spark, folder) == [("A", "amended")] and totals["updated"] == 1
+
+
+def test_first_fatality_over_several_files(spark, folder):
+    ddl = "person_id STRING, crash_date STRING, victim STRING"
+    for n, victim in enumerate(("DRIVER", "CYCLIST", "PEDESTRIAN")):
+        feeds.land(spark.createDataFrame([("F1", "2024-01-01", victim)], ddl).coalesce(1), f"{folder}/feed/{n}")
+    sync(spark, {"fatalities": f"{folder}/feed/*"}, f"{folder}/w", f"{folder}/c", lambda: NOW, files_per_batch=10)
+    assert [r["victim"] for r in warehouse_table(spark, f"{folder}/w", S.FATALITIES).read().collect()] == ["DRIVER"]
+
+
+def test_incremental_runs_equal_one_run(spark, folder):
+    landings = [
+        [("A", "2024-01-01", "a3", "2024-01-03T00:00:00"), ("B", "2024-01-01", "b1", "2024-01-01T00:00:00")],
+        [("A", "2024-01-01", "a1", "2024-01-01T00:00:00"), ("C", "2024-01-01", "c2", "2024-01-02T00:00:00"), ("", "2024-01-01", "x", None)],
+        [("B", "2024-02-01", "b4", "2024-01-04T00:00:00"), ("C", "2024-01-01", "c1", "2024-01-01T00:00:00")],
+    ]
+    seen = []
+    for n, rows in enumerate(landings):
+        feeds.land(stamped(spark, *rows).coalesce(1), f"{folder}/feed/{n}")
+        seen.append(increment(spark, folder))
+    wanted = [("A", "a3"), ("B", "b4"), ("C", "c2")]
+    assert streets(spark, folder) == wanted
+    assert [(c.inserted, c.updated) for c in seen] == [(2, 0), (1, 0), (0, 1)]
+    cursor = warehouse_table(spark, f"{folder}/warehouse", S.CRASHES).cursor(f"{folder}/feed/*")
+    assert cursor["changed"] == "2024-01-04T00:00:00" and cursor["landed"] > "2024"
+    again = increment(spark, folder)
+    assert (again.inserted, again.updated) == (0, 0) and streets(spark, folder) == wanted
+    sync_incremental(spark, f"{folder}/feed/*", "crashes", f"{folder}/other", lambda: NOW)
+    other = warehouse_table(spark, f"{folder}/other", S.CRASHES).read()
+    assert sorted(tuple(r) for r in other.select("crash_record_id", "street_name").collect()) == wanted
+
+
+def test_old_files_are_not_listed_again(spark, folder):
+    import os
+
+    feeds.land(stamped(spark, ("A", "2024-01-01", "a", "2024-01-03T00:00:00")).coalesce(1), f"{folder}/feed/0")
+    for name in glob.glob(f"{local(folder)}/feed/0/*"):
+        os.utime(name, (1_600_000_000, 1_600_000_000))
+    assert increment(spark, folder).fetched == 1
+    for n in (1, 2):
+        feeds.land(stamped(spark, ("A", "2024-01-01", f"a{n}", f"2024-01-0{n + 3}T00:00:00")).coalesce(1), f"{folder}/feed/{n}")
+        for name in glob.glob(f"{local(folder)}/feed/{n}/*"):
+            os.utime(name, (1_600_000_000 + 100 * n, 1_600_000_000 + 100 * n))
+        assert increment(spark, folder).fetched == 2  # the newest known file once more, nothing before it
+    assert streets(spark, folder) == [("A", "a2")]
+
+
+def test_whole_copies_are_cut_at_the_cursor(spark, folder):
+    rows = [("A", "2024-01-01", "a", "2024-01-01T00:00:00"), ("B", "2024-01-01", "b", "2024-01-02T00:00:00")]
+    feeds.land(stamped(spark, *rows).coalesce(1), f"{folder}/feed/0")
+    assert increment(spark, folder, whole=True).fetched == 2
+    feeds.land(stamped(spark, *rows, ("C", "2024-01-01", "c", "2024-01-03T00:00:00")).coalesce(1), f"{folder}/feed/1")
+    counts = increment(spark, folder, whole=True)
+    assert counts.inserted == 1 and counts.fetched <= 3
+    assert [k for k, _ in streets(spark, folder)] == ["A", "B", "C"]
