@@ -5,14 +5,14 @@ for all its own occurrences. Tasks fill the stripes of a slice of text, slots ar
 tasks, and the merged stripes hold everything the scores need: how often a phrase occurs (the slot of its
 last word), how often a prefix occurs (its own slot) and the most frequent extension of a phrase.
 
-A phrase is no more frequent than any part of it. So prefixes grow by one word per pass over the
-texts, and a pass looks only at prefixes that were frequent enough in the pass before.
+A phrase is no more frequent than any part of it. So before any stripe is filled, phrases are counted by
+hash, one word longer in each pass over the texts, and a pass looks only at phrases whose parts were
+frequent enough in the pass before. Stripes then hold only slots that pass these filters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ SUBSUMED = 80
 TOP = 2000
 SCALE = 2_000_000
 
-SLICE_BYTES = 1 << 22
-BITS_PER_PREFIX = 16
+SLICE_BYTES = 1 << 21
+BITS_PER_PHRASE = 16
 MOST_BITS = 1 << 27  # of the filter that travels to the tasks: 16 MB, at any size of the corpus
 
 _KIND = np.zeros(256, np.uint8)
@@ -67,11 +67,11 @@ class Words:
         """Hash of the n words from each word on (``of``: what else tells phrases apart), and if they are of one piece."""
         total, whole = of.copy(), np.ones(len(self.code), bool)
         for k in range(n):
-            after = len(total) - k
+            after = max(len(total) - k, 0)
             total[:after] = mixed(total[:after] * np.uint64(BASE) + self.hash[k:])
             if k:
                 whole[:after] &= self.follows[k - 1 : k - 1 + after]
-                whole[max(after, 0) :] = False
+                whole[after:] = False
         return total, whole
 
     def phrase(self, at: np.ndarray, n: int) -> pa.Array:
@@ -100,7 +100,8 @@ def _probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Frequent:
     """Filter of frequent phrases (a Bloom filter with two probes): it lets all of them pass, and a few others.
 
-    It only saves work. What it lets pass is counted under its own words, so nothing depends on its size.
+    It only saves work. What it lets pass is counted under its own words, so no result depends on its size,
+    nor on two phrases of one hash.
     """
 
     def __init__(self, words: np.ndarray) -> None:
@@ -113,80 +114,107 @@ class Frequent:
         return found
 
     @staticmethod
-    def of(phrases: DataFrame, length: int) -> Frequent:
-        """Filter of a table ``lang, phrase`` of phrases of ``length`` words."""
-        wanted = max(64, BITS_PER_PREFIX * phrases.count())
+    def of(hashes: DataFrame) -> Frequent:
+        """Filter of a table of distinct ``hash`` values."""
+        wanted = max(64, BITS_PER_PHRASE * hashes.count())
         bits = min(MOST_BITS, 1 << (wanted - 1).bit_length())
 
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words = Words(batch.column("phrase"))
-                first = np.searchsorted(words.text, np.arange(batch.num_rows))
-                hashes = words.grams(length, _hashes(batch.column("lang"))[words.text])[0][first]
-                probes = np.unique(np.concatenate(_probes(hashes, bits)))
+                probes = np.unique(np.concatenate(_probes(batch.column("hash").to_numpy().view(np.uint64), bits)))
                 mask = np.left_shift(np.uint64(1), (probes & 63).astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(probes >> 6), pa.array(mask)], ["slot", "mask"])
 
-        rows = phrases.select("lang", "phrase").mapInArrow(marked, "slot long, mask long")
+        rows = hashes.select("hash").mapInArrow(marked, "slot long, mask long")
         table = rows.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
         words = np.zeros(bits // 64, np.uint64)
         words[table.column("slot").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
         return Frequent(words)
 
 
-_STRIPES = "lang string, prefix string, next array<string>, n array<long>"
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def _stripes(length: int, frequent: Frequent | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stripes of prefixes of ``length`` words; the slot without a word counts the prefix itself."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array, np.ndarray]]:
+    """Words of slices of bounded text, the languages of the slice, and which of them each word is in."""
+    for whole in batches:
+        for batch in slices(whole, "text", SLICE_BYTES):
+            words = Words(batch.column("text"))
+            if len(words.code):
+                langs = batch.column("lang").dictionary_encode()
+                yield words, langs.dictionary, langs.indices.to_numpy().astype(np.int64)[words.text]
+
+
+def _hashed(length: int, shorter: Frequent | None) -> Mapper:
+    """``hash, n`` of the phrases of ``length`` words whose first and last part, a word shorter, may be frequent."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, langs, lang in _texts(batches):
+            of = _hashes(langs)[lang]
+            if shorter is not None:
+                parts, one_piece = words.grams(length - 1, of)
+                usable = shorter.passes(parts) & one_piece
+                usable[:-1] &= usable[1:]
+                usable[-1] = False
+            hashes, one_piece = words.grams(length, of)
+            found, n = np.unique(hashes[one_piece if shorter is None else one_piece & usable], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["hash", "n"])
+
+    return count
+
+
+_STRIPES = "length int, lang string, prefix string, next array<string>, n array<long>"
+
+
+def _stripe_batches(
+    words: Words, langs: pa.Array, lang: np.ndarray, at: np.ndarray, extends: np.ndarray, length: int
+) -> Iterator[pa.RecordBatch]:
+    """Stripes of the prefixes that begin at some words; ``extends`` says whose next word has a slot."""
+    size, first = len(words.spelled), None
+    stripe = lang[at]
+    for k in range(length):
+        stripe = stripe * size + words.code[at + k]
+        _, first, stripe = np.unique(stripe, return_index=True, return_inverse=True)
+    if first is None:
+        _, first, stripe = np.unique(stripe, return_index=True, return_inverse=True)
+    slot, n = np.unique(stripe[extends] * size + words.code[at[extends] + length], return_counts=True)
+    owner = slot // size
+    order = np.argsort(np.concatenate([np.arange(len(first)), owner]), kind="stable")  # the prefix's own slot first
+    following = np.concatenate([np.full(len(first), -1), slot % size])[order]
+    n = np.concatenate([np.bincount(stripe, minlength=len(first)), n])[order]
+    ends = np.concatenate([[0], np.cumsum(1 + np.bincount(owner, minlength=len(first)))]).astype(np.int32)
+    spelled = words.spelled.take(pa.array(following, mask=following < 0))
+    for low in range(0, len(first), 20_000):
+        high = min(low + 20_000, len(first))
+        a, b = int(ends[low]), int(ends[high])
+        offsets, heads = pa.array(ends[low : high + 1] - ends[low]), at[first[low:high]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(high - low, length, np.int32)),
+                langs.take(pa.array(lang[heads])).cast(pa.string()),
+                words.phrase(heads, length),
+                pa.ListArray.from_arrays(offsets, spelled[a:b]),
+                pa.ListArray.from_arrays(offsets, pa.array(n[a:b])),
+            ],
+            [c.split()[0] for c in _STRIPES.split(", ")],
+        )
+
+
+def _stripes(frequent: list[Frequent]) -> Mapper:
+    """Stripes of the empty prefix and of those that may be frequent; the slot without a word counts the prefix itself.
+
+    ``frequent`` holds the filters of phrases of one word, of two, and so on.
+    """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                words = Words(batch.column("text"))
-                if not len(words.code):
-                    continue
-                langs = batch.column("lang").dictionary_encode()
-                lang = langs.indices.to_numpy().astype(np.int64)[words.text]
-                size = len(words.spelled)
-                if length:
-                    hashes, one_piece = words.grams(length, _hashes(langs.dictionary)[lang])
-                    counts = frequent.passes(hashes) & one_piece
-                else:
-                    counts = np.ones(len(words.code), bool)
+        for words, langs, lang in _texts(batches):
+            of, counts = _hashes(langs)[lang], np.ones(len(words.code), bool)
+            for length, longer in enumerate(frequent):
+                hashes, one_piece = words.grams(length + 1, of)
+                extended = longer.passes(hashes) & one_piece
                 at = np.flatnonzero(counts)
-                stripe, first = lang[at], None
-                for k in range(length):
-                    stripe = stripe * size + words.code[at + k]
-                    _, first, stripe = np.unique(stripe, return_index=True, return_inverse=True)
-                if first is None:
-                    _, first, stripe = np.unique(stripe, return_index=True, return_inverse=True)
-                if length:  # an extension's last words must be frequent too
-                    extends = words.follows[at + length - 1]
-                    extends &= counts[np.minimum(at + 1, len(counts) - 1)]
-                else:
-                    extends = np.ones(len(at), bool)
-                slot, n = np.unique(stripe[extends] * size + words.code[at[extends] + length], return_counts=True)
-                owner = slot // size
-                stripes = np.arange(len(first))
-                order = np.argsort(np.concatenate([stripes, owner]), kind="stable")  # own slot first
-                following = np.concatenate([np.full(len(first), -1), slot % size])[order]
-                n = np.concatenate([np.bincount(stripe, minlength=len(first)), n])[order]
-                ends = np.concatenate([[0], np.cumsum(1 + np.bincount(owner, minlength=len(first)))]).astype(np.int32)
-                spelled = words.spelled.take(pa.array(following, mask=following < 0))
-                for low in range(0, len(first), 50_000):
-                    high = min(low + 50_000, len(first))
-                    a, b = int(ends[low]), int(ends[high])
-                    offsets, heads = pa.array(ends[low : high + 1] - ends[low]), at[first[low:high]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            langs.dictionary.take(pa.array(lang[heads])).cast(pa.string()),
-                            words.phrase(heads, length),
-                            pa.ListArray.from_arrays(offsets, spelled[a:b]),
-                            pa.ListArray.from_arrays(offsets, pa.array(n[a:b])),
-                        ],
-                        ["lang", "prefix", "next", "n"],
-                    )
+                yield from _stripe_batches(words, langs, lang, at, extended[at], length)
+                counts = extended
 
     return fill
 
@@ -198,17 +226,15 @@ def merged_stripes(rows: DataFrame, longest: int = LONGEST, least: int = LEAST)
     works slot by slot, so a stripe is never gathered: that of a very common prefix (the stripe of the
     empty prefix is the whole vocabulary) spreads over all tasks.
     """
-    levels: list[DataFrame] = []
-    for length in range(longest):
-        frequent = None
-        if length:
-            phrases = levels[-1].where(F.col("next").isNotNull()).select("lang", _phrase().alias("phrase"))
-            frequent = Frequent.of(phrases, length)
-        filled = rows.mapInArrow(_stripes(length, frequent), _STRIPES)
-        slots = filled.select("lang", "prefix", F.inline(F.arrays_zip("next", "n")))
-        slots = slots.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        levels.append(stored(slots.select(F.lit(length).alias("length"), "*"), "stripes"))
-    return reduce(DataFrame.unionByName, levels)
+    filters: list[Frequent] = []
+    for length in range(1, longest + 1):
+        hashed = rows.mapInArrow(_hashed(length, filters[-1] if filters else None), "hash long, n long")
+        hashed = hashed.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
+        filters.append(Frequent.of(stored(hashed, "frequent")))
+    slots = rows.mapInArrow(_stripes(filters), _STRIPES)
+    slots = slots.select("length", "lang", "prefix", F.inline(F.arrays_zip("next", "n")))
+    slots = slots.groupBy("length", "lang", "prefix", "next").agg(F.sum("n").alias("n"))
+    return stored(slots.where(F.col("n") >= least), "stripes")
 
 
 def _phrase() -> Column:

@@ -83,7 +83,9 @@ def test_collocations_share_and_top(spark):
 
 def test_no_phrases(spark):
     assert collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
-    assert collocations(spark.createDataFrame([(None, None)], "lang string, text string")).count() == 0
+    few = spark.createDataFrame([(None, None), ("en", "a"), ("en", "a b"), ("en", "a b c")], "lang string, text string")
+    assert collocations(few.repartition(4, "text")).count() == 0
+    assert sorted(r["phrase"] for r in collocations(few.repartition(4, "text"), least=1).collect()) == ["a b", "a b c"]
 
 
 # --- chats
