@@ -33,7 +33,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables that ``stored`` writes inside are removed at the end.
 
-    Whatever is to outlive them must have been written, outside ``stored``, before that.
+    Whatever is to outlive them must have been written before that.
     """
     _watching.append([])
     try:
@@ -43,16 +43,17 @@ def passing(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
-def stored(rows: DataFrame, purpose: str) -> DataFrame:
+def stored(rows: DataFrame, purpose: str, outlives: bool = False) -> DataFrame:
     """Write rows to the shared folder and read them back.
 
     Cuts the lineage: lost executors cost only the tasks they ran, never the steps before. The
-    folder goes when the driver's JVM ends.
+    folder goes when the driver's JVM ends, or with the innermost ``passing``; one that ``outlives``
+    it goes with the next one around it.
     """
     spark = rows.sparkSession
     path = new_folder(spark, purpose)
-    if _watching:
-        _watching[-1].append(path)
+    if len(_watching) > outlives:
+        _watching[-1 - outlives].append(path)
     rows.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
