@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,11 @@ from crashgrid import schemas as S
 from crashgrid.functions import labels as L
 from crashgrid.functions.predicates import ntz
 from crashgrid.sources.geojson import read_upload
-from crashgrid.sources.tables import ONE_PART, PartedTable
+from crashgrid.sources.tables import ONE_PART, ConcurrentCommit, PartedTable
+
+Made = TypeVar("Made")
+NUMBERS = "layer_ids"
+ATTEMPTS = 20
 
 SAMPLES_PER_FIELD = 3
 NUMERIC_SHARE = 0.8
@@ -96,8 +102,24 @@ def field_names(features: DataFrame, sample: int | None = None) -> DataFrame:
     )
 
 
+def _tried(edit: Callable[[], Made]) -> Made:
+    """Do an edit again, from what is stored by then, as often as another writer was faster."""
+    for attempt in range(ATTEMPTS):
+        try:
+            return edit()
+        except ConcurrentCommit:
+            if attempt == ATTEMPTS - 1:
+                raise
+    raise AssertionError
+
+
 class LayerStore:
-    """Layer registry and features, features partitioned by layer."""
+    """Layer registry and features, features partitioned by layer.
+
+    Every edit of the registry is based on one state of it and published only if that is still the
+    latest, else done again from the new one: no writer undoes another's edit. Layer numbers are
+    handed out by the same commits and never twice, also after a layer is gone.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
@@ -121,12 +143,40 @@ class LayerStore:
     def _layer(self, layer_id: int):
         return self.layers().where(F.col("id") == layer_id).first()
 
-    def _rewrite_registry(self, rows: DataFrame) -> None:
-        self._registry.replace(rows, [ONE_PART])
+    def _edit(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the registry by what ``change`` makes of its latest rows."""
+
+        def once() -> None:
+            state = self._registry.state()
+            rows = self._registry.read(revision=state["revision"])
+            self._registry.rewrite(change(rows), self._registry.directories([ONE_PART], state), based_on=state)
+
+        _tried(once)
+
+    def _new_number(self) -> int:
+        def once() -> int:
+            state = self._registry.state()
+            last = state.get("cursors", {}).get(NUMBERS, {}).get("last", 0)
+            stored = self._registry.read(revision=state["revision"]).agg(F.max("id").alias("id")).first()["id"]
+            number = max(last, stored or 0) + 1
+            self._registry.remember(NUMBERS, {"last": number}, state)
+            return number
+
+        return _tried(once)
 
     def _store_features(self, layer_id: int, features: DataFrame) -> None:
         rows = features.withColumn("layer_id", F.lit(layer_id))
-        self._features.replace(rows, [str(layer_id)])
+        _tried(lambda: self._features.replace(rows, [str(layer_id)]))
+
+    def _free_slug(self, layers: DataFrame, name: str, layer_id: int) -> Column:
+        """Slug of a name; the first free one of ``slug, slug-2, slug-3`` and so on where others have it."""
+        base = self.spark.range(1).select(L.slug(F.lit(name)).alias("slug")).first()["slug"]
+        like = (F.col("slug") == base) | F.col("slug").startswith(f"{base}-")
+        taken = {r["slug"] for r in layers.where(like & (F.col("id") != layer_id)).select("slug").collect()}
+        number = 1
+        while (slug := base if number == 1 else f"{base}-{number}") in taken:
+            number += 1
+        return F.lit(slug)
 
     def create(
         self,
@@ -144,17 +194,14 @@ class LayerStore:
         upload = read_upload(self.spark, path, multiline)
         if sort_type is None:
             sort_type = detect_sort_type(upload.features, label_field).first()["sort_type"]
-        newest = self.layers().agg(F.max("id").alias("id")).first()["id"] or 0
-        layer_id = newest + 1
+        layer_id = self._new_number()
         self._store_features(layer_id, upload.features)
         entry = self.spark.createDataFrame(
             [(layer_id, name, None, description, upload.geometry_type, srid,
               upload.feature_count, filename, True, label_field, sort_type)],
             S.LAYER_DDL,
-        ).withColumns(
-            {"slug": L.slug(F.col("name")), "created_at": ntz(now), "updated_at": ntz(now)}
-        )
-        self._rewrite_registry(self.layers().unionByName(entry))
+        ).withColumns({"created_at": ntz(now), "updated_at": ntz(now)})
+        self._edit(lambda rows: rows.unionByName(entry.withColumn("slug", self._free_slug(rows, name, layer_id))))
         return layer_id
 
     def replace(
@@ -183,13 +230,47 @@ class LayerStore:
         self._update(layer_id, changes)
         return True
 
-    def _update(self, layer_id: int, changes: dict[str, Column]) -> None:
+    def _update(
+        self, layer_id: int, changes: dict[str, Column], more: Callable[[DataFrame], dict[str, Column]] | None = None
+    ) -> None:
+        """Change columns of one layer; ``more`` works out further ones from the latest registry."""
         this = F.col("id") == layer_id
-        self._rewrite_registry(
-            self.layers().withColumns(
-                {c: F.when(this, new).otherwise(F.col(c)) for c, new in changes.items()}
-            )
-        )
+
+        def changed(rows: DataFrame) -> DataFrame:
+            every = changes | (more(rows) if more else {})
+            return rows.withColumns({c: F.when(this, new).otherwise(F.col(c)) for c, new in every.items()})
+
+        self._edit(changed)
+
+    def update(
+        self,
+        layer_id: int,
+        now: datetime,
+        name: str | None = None,
+        description: str | None = None,
+        is_active: bool | None = None,
+        label_field: str | None = None,
+        sort_type: str | None = None,
+    ) -> bool:
+        """Change what is given of a layer's entry; False when the layer does not exist.
+
+        A new name gets a new slug of its own. An empty ``label_field`` takes the label away.
+        """
+        layer = self._layer(layer_id)
+        if sort_type is not None and sort_type not in L.SORT_TYPES:
+            raise ValueError(f"unknown sort type: {sort_type}")
+        if layer is None:
+            return False
+        given = {"description": description, "is_active": is_active, "sort_type": sort_type}
+        changes = {c: F.lit(value) for c, value in given.items() if value is not None} | {"updated_at": ntz(now)}
+        if label_field is not None:
+            changes["label_field"] = F.lit(label_field or None).cast("string")
+        if not name or name == layer["name"]:
+            self._update(layer_id, changes)
+        else:
+            changes["name"] = F.lit(name)
+            self._update(layer_id, changes, lambda rows: {"slug": self._free_slug(rows, name, layer_id)})
+        return True
 
     def set_active(self, layer_id: int, active: bool, now: datetime) -> None:
         self._update(layer_id, {"is_active": F.lit(active), "updated_at": ntz(now)})
@@ -198,6 +279,6 @@ class LayerStore:
         """Remove a layer and all its features; False when the layer does not exist."""
         if self._layer(layer_id) is None:
             return False
-        self._features.drop_parts([str(layer_id)])
-        self._rewrite_registry(self.layers().where(F.col("id") != layer_id))
+        self._edit(lambda rows: rows.where(F.col("id") != layer_id))
+        _tried(lambda: self._features.drop_parts([str(layer_id)]))
         return True

@@ -87,7 +87,9 @@ def _native(rows: DataFrame, place_type: str, place_id: str) -> DataFrame:
     if place_type not in S.NATIVE_PLACES:
         raise ValueError(f"unknown place type: {place_type}")
     key = S.NATIVE_PLACES[place_type][1]
-    return rows.where(F.col(key).cast("string") == place_id)
+    value = F.lit(place_id).try_cast(rows.schema[key].dataType)
+    # the key itself is compared, so that the test reaches the scan; a text that only casts to it is not its id
+    return rows.where((F.col(key) == value) & (value.cast("string") == place_id))
 
 
 def native_geometry(rows: DataFrame, place_type: str, place_id: str) -> DataFrame:

@@ -51,11 +51,11 @@ class Place:
     boundary: DataFrame
 
     def edges(self) -> list[geo.Edge]:
-        """Outline of the one place, fetched so that its box can be pushed to the scans."""
+        """Outline of the one place, fetched so that its box can be pushed to the scans; none for points and lines."""
         found = self.boundary.select("edges").first()
         if found is None:
             raise LookupError(f"place not found: {self.place_type}/{self.place_id}")
-        return [tuple(e) for e in found["edges"]]
+        return [tuple(e) for e in found["edges"] or ()]
 
 
 Region = Radius | Ring | Place
@@ -85,7 +85,8 @@ def in_region(rows: DataFrame, region: Region) -> DataFrame:
         )
     if isinstance(region, Ring):
         return spatial.within_ring(located, region.vertices)
-    return spatial.within_edges(located, region.edges())
+    edges = region.edges()
+    return spatial.within_edges(located, edges) if edges else located.where(F.lit(False))
 
 
 def _kabco_count(injury: str) -> Column:

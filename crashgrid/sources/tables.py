@@ -275,6 +275,10 @@ class PartedTable:
         """Where the last run of that name has got to."""
         return self.state().get("cursors", {}).get(name)
 
+    def remember(self, name: str, value: dict, based_on: dict) -> None:
+        """Publish a cursor alone; fails like any commit if ``based_on`` is no longer the latest state."""
+        self._commit(based_on, self.directories(state=based_on), None, based_on.get("rows"), based_on.get("index"), (name, value))
+
     def _commit(self, state: dict, directories: set[Directory], batch=None, rows=None, index=None, cursor=None) -> None:
         parts: dict[str, list[str]] = {}
         for part, token in sorted(directories):

@@ -180,3 +180,61 @@ def test_the_whole_layer_is_profiled(spark):
     assert [r["name"] for r in layers.field_names(rows).collect()] == ["late", "n"]
     assert layers.detect_sort_type(rows, "n").first()["sort_type"] == "alphabetic"
     assert layers.detect_sort_type(rows, "n", 100).first()["sort_type"] == "numeric"
+
+
+def test_two_writers_lose_no_edit(spark, upload, folder, monkeypatch):
+    path = upload(collection({"name": "a"}))
+    one, two = layers.LayerStore(spark, folder), layers.LayerStore(spark, folder)
+    first = one.create("First", path, NOW)
+    rewrite, seen = one._registry.rewrite, []
+
+    def interrupted(*args, **kwargs):
+        if not seen:
+            seen.append(two.create("Second", path, NOW))
+        return rewrite(*args, **kwargs)
+
+    monkeypatch.setattr(one._registry, "rewrite", interrupted)
+    one.set_active(first, False, NOW)
+    got = {r["name"]: (r["id"], r["is_active"]) for r in one.layers().collect()}
+    assert got == {"First": (first, False), "Second": (seen[0], True)} and seen[0] != first
+
+
+def test_layer_numbers_are_not_handed_out_again(spark, upload, folder):
+    path = upload(collection({"name": "a"}))
+    store = layers.LayerStore(spark, folder)
+    first, second = store.create("A", path, NOW), store.create("B", path, NOW)
+    assert store.delete(second) and store.create("C", path, NOW) == second + 1
+    assert store.delete(first) and [r["layer_id"] for r in store.features().collect()] == [second + 1]
+
+
+def test_layer_update_and_unique_slugs(spark, upload, folder):
+    path = upload(collection({"name": "a"}))
+    store = layers.LayerStore(spark, folder)
+    ids = [store.create(name, path, NOW, label_field="name") for name in ("School Zones", "School zones!", "Parks")]
+    slug = lambda: [r["slug"] for r in store.layers().orderBy("id").collect()]
+    assert slug() == ["school-zones", "school-zones-2", "parks"]
+    assert store.update(ids[2], NOW, name="School Zones", description="d", is_active=False, label_field="", sort_type="natural")
+    row = store.layers().where(F.col("id") == ids[2]).first()
+    assert slug()[2] == "school-zones-3" and (row["description"], row["is_active"], row["label_field"], row["sort_type"]) == ("d", False, None, "natural")
+    assert store.update(ids[0], NOW, name="School Zones") and slug()[0] == "school-zones"
+    assert store.update(ids[1], NOW, label_field="other") and slug()[1] == "school-zones-2"
+    assert not store.update(99, NOW, name="x")
+    with pytest.raises(ValueError):
+        store.update(ids[0], NOW, sort_type="random")
+
+
+def test_a_point_is_an_empty_region(spark, upload, folder):
+    store = layers.LayerStore(spark, folder)
+    layer = store.create("Points", upload(collection({"name": "p"}, geometry={"type": "Point", "coordinates": [-87.65, 41.85]})), NOW)
+    boundary = places.layer_place(store.features(), layer, 1)
+    points = spark.createDataFrame([("in", -87.65, 41.85)], "crash_record_id STRING, longitude DOUBLE, latitude DOUBLE")
+    assert R.in_region(points, R.Place(f"layer:{layer}", "1", boundary)).count() == 0
+
+
+def test_place_ids_reach_the_scan(spark, folder):
+    spark.createDataFrame([(5, "A"), (50, "B")], "ward INT, alderman STRING").write.parquet(folder)
+    wards = spark.read.parquet(folder)
+    found = places.native_place(wards, "wards", "5")
+    assert [r["name"] for r in found.collect()] == ["Ward 5"]
+    assert "EqualTo(ward,5)" in found._jdf.queryExecution().executedPlan().toString()
+    assert [places.native_place(wards, "wards", odd).count() for odd in ("05", "x", "5.0", " 5")] == [0, 0, 0, 0]
