@@ -21,6 +21,7 @@ from crashgrid.checks.queries import (
     NOW,
     RING,
     START,
+    STORED_WINDOW,
 )
 from crashgrid.schemas import INJURY_COSTS
 
@@ -178,6 +179,9 @@ WHERE crash_date > '1997-06-30T23:59:59' OR (crash_date = '1997-06-30T23:59:59'
 ORDER BY crash_date, crash_record_id LIMIT 1000""")
 add("feed_count", ("fx_crashes",), f"""{FEED}
 SELECT count(*) AS count FROM feed WHERE crash_date >= '1997-01-01T00:00:00'""")
+add("feed_dated_landing", ("fx_raw_crashes",), """
+SELECT crash_record_id, crash_date, CAST(ingest_seq AS VARCHAR) AS ingest_seq FROM fx_raw_crashes
+WHERE crash_date >= '1997-01-01T00:00:00' AND crash_date < '1999-12-31T23:59:59'""")
 add("feed_sample", ("fx_crashes",), f"""{FEED}
 SELECT crash_record_id, crash_date, injuries_total FROM feed ORDER BY crash_record_id LIMIT 100""")
 
@@ -510,6 +514,10 @@ add("merge_people", ("fx_people",), f"""
 SELECT crash_record_id, person_id, CASE WHEN person_type = 'PASSENGER' THEN age + 1 ELSE age END AS age,
  person_type, CASE WHEN person_type = 'PASSENGER' THEN '{NOW}' ELSE '{START}' END AS updated_at
 FROM fx_people""")
+add("stored_date_window", ("fx_crashes",), f"""
+, l AS ({LOADED})
+SELECT crash_record_id, {text_time('crash_date')} AS crash_date, injuries_total, street_name FROM l
+WHERE crash_date >= TIMESTAMP '{STORED_WINDOW[0]}' AND crash_date < TIMESTAMP '{STORED_WINDOW[1]}' + INTERVAL 1 DAY""")
 PURGED = "crash_date >= TIMESTAMP '1997-03-10' AND crash_date <= TIMESTAMP '1998-11-20'"
 add("purge_crashes", ("fx_crashes",), f"""
 , l AS ({LOADED})

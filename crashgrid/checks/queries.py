@@ -262,6 +262,15 @@ def feed_count(spark, sf):
     return feeds.count_rows(_crash_feed(spark, sf), window)
 
 
+@query
+def feed_dated_landing(spark, sf):
+    """The window of a landing with a folder per month."""
+    path = new_folder(spark, "feed")
+    feeds.land_by_date(view(spark, sf, "fx_raw_crashes"), path, letters=feeds.MONTH)
+    rows = feeds.scan_dates(spark, path, "crashes", "1997-01-01", "1999-12-31")
+    return rows.select("crash_record_id", "crash_date", "ingest_seq")
+
+
 @query
 def feed_sample(spark, sf):
     rows = _crash_feed(spark, sf).select("crash_record_id", "crash_date", "injuries_total")
@@ -592,6 +601,7 @@ def export_vision_zero(spark, sf):
 LOADED_BEFORE = datetime(2000, 7, 1)
 AMENDED_FROM = datetime(2000, 1, 1)
 NOW = datetime(2001, 8, 2)
+STORED_WINDOW = (datetime(1997, 5, 10), datetime(1999, 2, 3))
 
 
 def _amended(crashes: DataFrame) -> DataFrame:
@@ -653,6 +663,14 @@ def merge_people(spark, sf):
 PURGE_FROM, PURGE_TO = "1997-03-10", "1998-11-20"
 
 
+@query
+def stored_date_window(spark, sf):
+    """A date range of the stored table, of which only its months are listed."""
+    _, table, _ = _loaded(spark, sf)
+    rows = table.read_between(*STORED_WINDOW)
+    return times_as_text(rows.select("crash_record_id", "crash_date", "injuries_total", "street_name"))
+
+
 @query
 def purge_crashes(spark, sf):
     warehouse, table, _ = _loaded(spark, sf)

@@ -45,6 +45,41 @@ def date_window(field: str, start: str | None = None, end: str | None = None) ->
     return all_of(bounds)
 
 
+DAY, MONTH = 10, 7  # letters of an ISO date that name a folder
+FOLDER = "landed_for"
+UNDATED = "undated"
+
+
+def _folder(field: Column, letters: int) -> Column:
+    return F.when(field.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(field, 1, letters)).otherwise(UNDATED)
+
+
+def land_by_date(rows: DataFrame, path: str, field: str = "crash_date", letters: int = DAY) -> None:
+    """Land rows in one folder per day, or per month; what is no ISO date shares a folder.
+
+    A day with most of the rows is written by several tasks.
+    """
+    text = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
+    laid_out = text.withColumn(FOLDER, _folder(F.col(field), letters)).hint("rebalance", FOLDER)
+    laid_out.write.mode("errorifexists").option("ignoreNullFields", "false").partitionBy(FOLDER).json(path)
+
+
+def scan_dates(
+    spark: SparkSession, path: str, dataset: str, start: str | None = None, end: str | None = None,
+    field: str = "crash_date",
+) -> DataFrame:
+    """Rows of an ingest window from a landing laid out by date: the rows ``date_window`` keeps, but only the folders
+    of the window, and that of undated rows, are listed."""
+    schema = S.raw_schema(S.BY_DATASET[dataset]).add(FOLDER, "string")
+    rows = spark.read.schema(schema).json(path)
+    folder, wanted = F.col(FOLDER), F.lit(True)
+    if start:
+        wanted = wanted & (folder >= F.substring(F.lit(start), 1, MONTH))
+    if end:
+        wanted = wanted & (F.substring(folder, 1, DAY) <= end)
+    return rows.where(wanted | (folder == UNDATED)).where(date_window(field, start, end)).drop(FOLDER)
+
+
 def updated_since(rows: DataFrame, cursor: datetime) -> DataFrame:
     """Rows changed after the last sync, oldest change first."""
     mark = cursor.strftime("%Y-%m-%dT%H:%M:%S")

@@ -239,3 +239,21 @@ def test_whole_copies_are_cut_at_the_cursor(spark, folder):
     counts = increment(spark, folder, whole=True)
     assert counts.inserted == 1 and counts.fetched <= 3
     assert [k for k, _ in streets(spark, folder)] == ["A", "B", "C"]
+
+
+@pytest.mark.parametrize("letters", [feeds.DAY, feeds.MONTH])
+def test_dated_landings_list_only_the_window(spark, folder, letters):
+    days = ["2024-01-01T10:00:00", "2024-01-31T23:59:58", "2024-01-31T23:59:59", "2024-01-15", "2023-12-31T23:59:59",
+            "2024-02-01T00:00:00", "2024-03-05", "3/4/2021", "", None, "2024-01-20Tnonsense"]
+    rows = spark.createDataFrame([(f"K{i}", d) for i, d in enumerate(days)], "crash_record_id STRING, crash_date STRING")
+    feeds.land_by_date(rows, folder, letters=letters)
+    for start, end in [("2024-01-01", "2024-01-31"), ("2024-01-15", None), (None, "2024-01-15"), (None, None)]:
+        wanted = rows.where(feeds.date_window("crash_date", start, end)).select("crash_record_id").collect()
+        got = feeds.scan_dates(spark, folder, "crashes", start, end)
+        assert sorted(r[0] for r in got.select("crash_record_id").collect()) == sorted(r[0] for r in wanted)
+    plan = feeds.scan_dates(spark, folder, "crashes", "2024-03-01", "2024-03-31")
+    scan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "landed_for" in scan.split("PartitionFilters")[1].split("]")[0]
+    plan.collect()
+    files = plan._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numFiles").get().value()
+    assert files <= 2 < len(spark.read.json(folder).inputFiles())
