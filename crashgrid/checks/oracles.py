@@ -639,6 +639,16 @@ SELECT t AS table_name, 'geometry' AS geometry_column, CAST(2 AS INT) AS dimensi
  SELECT 'wards' AS t, 'MULTIPOLYGON' AS g, count(*) AS n FROM fx_zones
  UNION ALL SELECT 'community_areas', 'MULTIPOLYGON', count(*) FROM fx_areas
  UNION ALL SELECT 'crashes', 'POINT', count(*) FROM fx_crashes) x ORDER BY 1""")
+add("spatial_catalog_found", ("fx_zones", "fx_crashes"), """
+, x AS (SELECT 'wards' AS t, 'polygons' AS c, 'MULTIPOLYGON' AS g, min_lon AS a, min_lat AS b, max_lon AS x, max_lat AS y FROM fx_zones
+ UNION ALL SELECT 'crashes', 'longitude, latitude', CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 'POINT' END,
+  longitude, latitude, longitude, latitude FROM fx_crashes
+ UNION ALL SELECT 'layer', 'geometry', CASE ward % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'MULTIPOLYGON' END,
+  CASE WHEN ward % 3 < 2 THEN min_lon END, CASE WHEN ward % 3 < 2 THEN min_lat END,
+  CASE ward % 3 WHEN 0 THEN min_lon WHEN 1 THEN max_lon END, CASE ward % 3 WHEN 0 THEN min_lat WHEN 1 THEN max_lat END FROM fx_zones)
+SELECT t AS table_name, c AS geometry_column, CASE WHEN count(DISTINCT g) = 1 THEN max(g) ELSE 'GEOMETRY' END AS geometry_type,
+ CAST(2 AS INT) AS dimensions, min(a) AS min_lon, min(b) AS min_lat, max(x) AS max_lon, max(y) AS max_lat,
+ count(g) AS located, count(*) AS record_count FROM x GROUP BY t, c""")
 add("spatial_table_sample", ("fx_zones",), """
 SELECT ward, ward_name, concat('<geometry: ', substr(concat('MULTIPOLYGON of zone ', repeat(ward_name, 4)), 1, 50), '...>') AS geometry
 FROM fx_zones ORDER BY ward LIMIT 25""")

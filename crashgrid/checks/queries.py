@@ -955,6 +955,19 @@ def spatial_catalog(spark, sf):
     )
 
 
+@query
+def spatial_catalog_found(spark, sf):
+    """Geometry types, dimensions and bounds as the tables themselves show them."""
+    zones = _zone_boundaries(spark, sf)
+    shape = geo.geojson_from_polygons(F.col("polygons"))
+    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.col("polygons")[0][0][0].alias("coordinates")))
+    text = F.when(F.col("ward") % 3 == 0, point).when(F.col("ward") % 3 == 1, shape)
+    return catalog.describe_tables({
+        "wards": zones, "crashes": view(spark, sf, "fx_crashes"), "areas": view(spark, sf, "fx_areas"),
+        "layer": zones.select("ward", text.alias("geometry")),
+    })
+
+
 @query
 def spatial_table_sample(spark, sf):
     zones = _zone_boundaries(spark, sf).select(

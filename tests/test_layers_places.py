@@ -129,6 +129,17 @@ def test_catalog(spark):
         catalog.sample_table(rows, 101)
 
 
+def test_catalog_from_the_data(spark):
+    texts = [json.dumps({"type": "Point", "coordinates": [1.5, -2, 7]}), json.dumps(SQUARE), None]
+    shapes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id INT, geom STRING")
+    points = spark.createDataFrame([(None, None), (3.0, 4.0)], "longitude DOUBLE, latitude DOUBLE")
+    got = {r["table_name"]: tuple(r)[1:] for r in catalog.describe_tables(
+        {"s": shapes, "p": points, "n": points.limit(0), "x": spark.range(3), "one": shapes.limit(1)}).collect()}
+    assert got["s"] == ("geom", "GEOMETRY", 3, -87.7, -2.0, 1.5, 41.9, 2, 3) and got["one"][1:3] == ("POINT", 3)
+    assert got["p"] == ("longitude, latitude", "POINT", 2, 3.0, 4.0, 3.0, 4.0, 1, 2)
+    assert got["n"] == ("longitude, latitude", None, None, None, None, None, None, 0, 0) and "x" not in got
+
+
 def test_jobs(spark, folder):
     registry = spark.createDataFrame([(1, "A", "custom", True), (2, "B", "custom", False)],
                                      "id BIGINT, name STRING, job_type STRING, enabled BOOLEAN")
