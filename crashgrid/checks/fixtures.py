@@ -120,6 +120,18 @@ SELECT CAST(p_partkey AS INT) AS area_numbe,
 FROM $part
 """
 
+VIEWS["fx_house"] = """
+SELECT CAST(s_suppkey AS STRING) AS district,
+       CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS rep_name
+FROM $supplier
+"""
+
+VIEWS["fx_senate"] = """
+SELECT CAST(p_partkey AS STRING) AS district,
+       CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS senator_name
+FROM $part
+"""
+
 VIEWS["fx_sites"] = """
 SELECT s_suppkey AS signal_id, s_name AS signal_street,
        -87.95e0 + CAST((s_suppkey * 31337) % 4500 AS DOUBLE) / 1e4 AS site_longitude,

@@ -595,6 +595,22 @@ add("community_items", ("fx_areas",), """
 , n AS (SELECT CAST(area_numbe AS VARCHAR) AS id,
  coalesce(nullif(community, ''), concat('Area ', CAST(area_numbe AS VARCHAR))) AS name FROM fx_areas)
 SELECT id, name, name AS display_name FROM n""")
+NATIVE = ("fx_zones", "fx_areas", "fx_house", "fx_senate", "fx_beats")
+HELD = "concat({name}, CASE WHEN coalesce({holder}, '') = '' THEN '' ELSE concat(' - ', {holder}) END)"
+WARD, DISTRICT = "concat('Ward ', CAST(ward AS VARCHAR))", "concat('District ', district)"
+AREA = "coalesce(nullif(community, ''), concat('Area ', CAST(area_numbe AS VARCHAR)))"
+add("native_place_items", NATIVE, f"""
+SELECT 'wards' AS place_type, CAST(ward AS VARCHAR) AS id, {WARD} AS name, {HELD.format(name=WARD, holder='alderman')} AS display_name FROM fx_zones
+UNION ALL SELECT 'community_areas', CAST(area_numbe AS VARCHAR), {AREA}, {AREA} FROM fx_areas
+UNION ALL SELECT 'house_districts', district, {DISTRICT}, {HELD.format(name=DISTRICT, holder='rep_name')} FROM fx_house
+UNION ALL SELECT 'senate_districts', district, {DISTRICT}, {HELD.format(name=DISTRICT, holder='senator_name')} FROM fx_senate
+UNION ALL SELECT 'police_beats', beat_num, concat('Beat ', beat_num), concat('Beat ', beat_num) FROM fx_beats""")
+add("native_report_names", NATIVE, """
+SELECT 'wards' AS place_type, '2' AS place_id, 'Ward 2' AS name FROM fx_zones WHERE ward = 2
+UNION ALL SELECT 'community_areas', '2', community FROM fx_areas WHERE area_numbe = 2
+UNION ALL SELECT 'house_districts', '2', 'House District 2' FROM fx_house WHERE district = '2'
+UNION ALL SELECT 'senate_districts', '2', 'Senate District 2' FROM fx_senate WHERE district = '2'
+UNION ALL SELECT 'police_beats', '2', 'Police Beat 2' FROM fx_beats WHERE beat_num = '2'""")
 NAMED = """, n AS (SELECT CAST(id AS VARCHAR) AS id, {label} CASE CAST(id AS BIGINT) % 6
  WHEN 0 THEN json_extract_string(properties, '$.name')
  WHEN 1 THEN concat('Ward ', CAST(CAST(CAST(json_extract_string(properties, '$.ward') AS DOUBLE) AS BIGINT) AS VARCHAR))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -886,6 +887,26 @@ def layer_items_natural(spark, sf):
 LISTED = 200
 
 
+def _native_tables(spark, sf) -> dict[str, DataFrame]:
+    names = {"wards": "fx_zones", "community_areas": "fx_areas", "house_districts": "fx_house",
+             "senate_districts": "fx_senate", "police_beats": "fx_beats"}
+    return {place_type: view(spark, sf, name) for place_type, name in names.items()}
+
+
+@query
+def native_place_items(spark, sf):
+    """Listings of every native place type."""
+    listed = [places.native_items(rows, t).withColumn("place_type", F.lit(t)) for t, rows in _native_tables(spark, sf).items()]
+    return reduce(DataFrame.unionByName, listed)
+
+
+@query
+def native_report_names(spark, sf):
+    """The name on a report of one place of every native type, found by its id as text."""
+    found = [places.native_place(rows, t, "2").select("place_type", "place_id", "name") for t, rows in _native_tables(spark, sf).items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _layer_page(sort_type: str):
     """The first page of a layer's listing with the place of each item, which shows the sort order."""
 
