@@ -179,6 +179,16 @@ WHERE crash_date > '1997-06-30T23:59:59' OR (crash_date = '1997-06-30T23:59:59'
 ORDER BY crash_date, crash_record_id LIMIT 1000""")
 add("feed_count", ("fx_crashes",), f"""{FEED}
 SELECT count(*) AS count FROM feed WHERE crash_date >= '1997-01-01T00:00:00'""")
+WINDOWS = {
+    ("last_30_days_crashes", "crashes"): "crash_date >= '2001-07-02T00:00:00' AND crash_date < '2001-08-01T23:59:59'",
+    ("last_6_months_fatalities", "fatalities"): "crash_date >= '2001-02-02T00:00:00' AND crash_date < '2001-08-01T23:59:59'",
+    ("some_other_job", "crashes"): "crash_date >= '2001-07-25T00:00:00' AND crash_date < '2001-08-01T23:59:59'",
+    ("full_refresh", "crashes,people,vehicles,fatalities"): "TRUE",
+    ("custom", "crashes"): "crash_date >= '2001-05-03T00:00:00' AND crash_date < '2001-07-15T23:59:59'",
+}
+add("job_window_counts", ("fx_crashes",), FEED + " UNION ALL ".join(
+    f" SELECT '{job}' AS job_type, '{datasets}' AS datasets, count(*) FILTER ({inside}) AS fetched FROM feed"
+    for (job, datasets), inside in WINDOWS.items()))
 add("feed_dated_landing", ("fx_raw_crashes",), """
 SELECT crash_record_id, crash_date, CAST(ingest_seq AS VARCHAR) AS ingest_seq FROM fx_raw_crashes
 WHERE crash_date >= '1997-01-01T00:00:00' AND crash_date < '1999-12-31T23:59:59'""")

@@ -263,6 +263,25 @@ def feed_count(spark, sf):
     return feeds.count_rows(_crash_feed(spark, sf), window)
 
 
+JOB_CONFIGS = {
+    "last_30_days_crashes": {}, "last_6_months_fatalities": {}, "some_other_job": {}, "full_refresh": {},
+    "custom": {"date_range_days": 90, "end_date": "2001-07-15"},
+}
+
+
+@query
+def job_window_counts(spark, sf):
+    """How many feed rows the window of each kind of refresh job holds, in one pass."""
+    counts = []
+    for job, config in JOB_CONFIGS.items():
+        window = sync_window(job, AS_OF, config)
+        inside = feeds.date_window("crash_date", window.start, window.end)
+        counts.append(F.struct(
+            F.lit(job).alias("job_type"), F.lit(",".join(window.datasets)).alias("datasets"), F.count_if(inside).alias("fetched")
+        ))
+    return _crash_feed(spark, sf).agg(F.array(*counts).alias("windows")).select(F.inline("windows"))
+
+
 @query
 def feed_dated_landing(spark, sf):
     """The window of a landing with a folder per month."""
