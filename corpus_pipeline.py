@@ -18,6 +18,7 @@ from crashgrid.llm.minhash import near_duplicates
 from crashgrid.llm.mixing import mix
 from crashgrid.llm.packing import pack_windows
 from crashgrid.llm.substring_dedup import repeated_passages
+from crashgrid.operators.joins import fits_broadcast
 from crashgrid.session import new_folder
 
 MIN_LANGUAGE_SCORE = 0.5
@@ -51,6 +52,12 @@ def _keyed(docs: DataFrame, once: bool = False) -> DataFrame:
     return stored(marked.join(numbers, "digest").select("key", "row"), "keyed")
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """A side of keys as a join should take it: sent to all executors where a count says that it is small, so that
+    the texts stay where they are, else shuffled."""
+    return F.broadcast(keys) if fits_broadcast(keys) else keys
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language, or in none for sure. Every row is judged by its own text."""
     model = train(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -65,8 +72,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     like any two documents, and so are rows without id.
     """
     rows = _keyed(docs, once=True)
-    kept = near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key").where("kept")
-    return rows.join(stored(kept.select(F.col("doc_id").alias("key")), "kept"), "key", "left_semi").select("row.*")
+    with passing(spark):
+        dropped = near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key").where("not kept")
+        dropped = stored(dropped.select(F.col("doc_id").alias("key")), "dropped", outlives=True)
+    return rows.join(_sized(dropped), "key", "left_anti").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,13 +85,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that are repeated in every column are the same document.
     """
     rows = _keyed(docs)
-    found = repeated_passages(rows.select("key", F.col("row.text").alias("text")), "key").where("n_removed > 0")
-    found = stored(found.select(F.col("doc_id").alias("key"), "kept").dropDuplicates(["key"]), "passages")
-    rows = rows.join(found, "key", "left").where(F.col("kept").isNull() | (F.col("kept") != ""))
-    text = F.coalesce("kept", "row.text")
-    row = F.col("row").withField("text", text)
+    with passing(spark):
+        found = repeated_passages(rows.select("key", F.col("row.text").alias("text")), "key").where("n_removed > 0")
+        found = found.select(F.col("doc_id").alias("key"), "kept").dropDuplicates(["key"])
+        found = stored(found, "passages", outlives=True)
+    cut = _sized(found.select("key"))
+    same = rows.join(cut, "key", "left_anti").select("row", F.col("row.text").alias("text"))
+    changed = rows.join(cut, "key", "left_semi").join(found.where("kept <> ''"), "key")
+    rows = same.unionByName(changed.select("row", F.col("kept").alias("text")))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length(text).cast("long"))
+        row = row.withField("n_chars", F.length("text").cast("long"))
     return rows.select(row.alias("row")).select("row.*")
 
 
@@ -93,10 +106,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     in every column all copies together are returned.
     """
     rows = _keyed(docs)
-    taken = mix(rows.select("key", "row.doc_id", "row.source", "row.text"), table(spark, sf_dir, "labels"), row="key")
-    taken = taken.where("copies > 0").groupBy(F.col("row").alias("key")).agg(F.sum("copies").alias("copies"))
+    with passing(spark):
+        taken = mix(rows.select("key", "row.doc_id", "row.source", "row.text"), table(spark, sf_dir, "labels"), row="key")
+        taken = taken.where("copies > 0").groupBy(F.col("row").alias("key")).agg(F.sum("copies").alias("copies"))
+        taken = stored(taken, "taken", outlives=True)
     rows = rows if _ids_tell_apart(docs) else rows.dropDuplicates(["key"])
-    rows = rows.join(stored(taken, "taken"), "key")
+    rows = rows.join(_sized(taken), "key")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
