@@ -22,6 +22,12 @@ from crashgrid.operators.joins import fits_broadcast
 from crashgrid.session import new_folder
 
 MIN_LANGUAGE_SCORE = 0.5
+BATCH_BYTES = 4 << 20  # of text that goes to Python at once
+
+
+def _text_batches(spark: SparkSession) -> None:
+    """Have the session bound Arrow batches by bytes: ten thousand rows of long texts are too much for a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def _ids_tell_apart(docs: DataFrame) -> bool:
@@ -60,6 +66,7 @@ def _sized(keys: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language, or in none for sure. Every row is judged by its own text."""
+    _text_batches(spark)
     model = train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     found = _rows(docs).withColumn("found", verdict(model)(F.col("row.text").cast("string")))
     return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= MIN_LANGUAGE_SCORE)).select("row.*")
@@ -71,6 +78,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that are repeated in every column leave one. Rows of one id with different texts are compared
     like any two documents, and so are rows without id.
     """
+    _text_batches(spark)
     rows = _keyed(docs, once=True)
     with passing(spark):
         dropped = near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key").where("not kept")
@@ -84,6 +92,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each of several texts of one id is cut by itself; rows without id are later than all others. Rows
     that are repeated in every column are the same document.
     """
+    _text_batches(spark)
     rows = _keyed(docs)
     with passing(spark):
         found = repeated_passages(rows.select("key", F.col("row.text").alias("text")), "key").where("n_removed > 0")
@@ -117,6 +126,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of tokens."""
+    _text_batches(spark)
     return pack_windows(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
