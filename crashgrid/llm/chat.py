@@ -67,7 +67,7 @@ def render_instructions(messages: Messages, prompt: bool = False) -> str:
     return "".join(out)
 
 
-INSTRUCTIONS = Template(render_instructions, escape, reach=1)
+INSTRUCTIONS = Template(render_instructions, escape)
 
 
 def parse_instructions(formatted: str) -> Messages:
@@ -93,12 +93,13 @@ class Renderer:
     def __init__(self, template: Template) -> None:
         self.template = template
         self.seen: Messages = []
+        self.output: str | None = ""  # of the turns seen, None where it has to be rendered again
         self.rewritten = False
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         """What the turn adds to the output, and the bounds of an assistant's text in it (else 0, 0)."""
         render, reach = self.template.render, self.template.reach
-        before = render(self.seen, False) if self.seen else ""
+        before = render(self.seen, False) if self.output is None else self.output
         now = render([*self.seen, (role, text)], False)
         span, low, high = now[len(before) :], 0, 0
         if not now.startswith(before):
@@ -110,8 +111,10 @@ class Renderer:
             else:
                 self.rewritten = True
         self.seen.append((role, text))
+        self.output = now
         if reach is not None and len(self.seen) > reach + 1:
             del self.seen[1 : len(self.seen) - reach]
+            self.output = None
         return span, low, high
 
 
@@ -143,8 +146,9 @@ def format_chats(
 
     Rows go by ``turn``, null first; turns of one number by role, then text. Null texts and roles
     are empty; rows without ``conv_id`` are one conversation; repeated rows are turns of their own;
-    an empty table gives no rows. A task holds the last turns of one conversation (all of them only
-    for a template of unlimited reach), so that long ones cost time, never memory.
+    an empty table gives no rows. Every prefix of a conversation is rendered whole and compared with the
+    one before, so a task holds one conversation and its output, at a cost that grows with the square of
+    its length. A template that states its ``reach`` is shown only the turns it looks at.
     """
     rows = conversations.select(
         F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"),

@@ -8,6 +8,7 @@ import re
 import sys
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark import cloudpickle
@@ -164,6 +165,20 @@ def test_templates_that_look_far_back():
     assert out == counting(messages, False) and not renderer.rewritten
 
 
+def test_every_prefix_is_rendered_whole():
+    shown = []
+
+    def render(messages, prompt):
+        shown.append((len(messages), prompt))
+        return INSTRUCTIONS.render(messages, prompt)
+
+    renderer = Renderer(replace(INSTRUCTIONS, render=render))
+    for i in range(12):
+        renderer.add(["user", "assistant"][i % 2], f"t{i}")
+    assert [n for n, prompt in shown if not prompt] == list(range(1, 13))
+    assert [n for n, prompt in shown if prompt] == list(range(1, 13, 2))
+
+
 def test_rewriting_reaches_the_rows(spark):
     frame = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "hm|a"), (1, 2, "user", "r"), (1, 3, "assistant", "x|b")],
                                   "conv_id long, turn long, role string, text string")
