@@ -247,3 +247,32 @@ def test_geojson_and_wkt(spark):
     wkt = spark.createDataFrame([("POINT(-87.5 41.6)",), ("POINT (1 2)",), ("LINE",)], "w STRING")
     got = [r[0] for r in wkt.select(geo.point_from_wkt(F.col("w"))).collect()]
     assert [tuple(p) for p in got] == [(-87.5, 41.6), (1.0, 2.0), (None, None)]
+
+
+@pytest.mark.parametrize("cell, limit", [(None, 500_000), (0.05, 500_000), (0.05, 0), (0.013, 0)])
+def test_counts_equal_pairs(spark, cell, limit):
+    rng = random.Random(5)
+    places = []
+    for name in [*range(30), 3, 7, None]:
+        x, y, r = rng.uniform(0, 1), rng.uniform(0, 1), rng.uniform(0.02, 0.4)
+        ring = [(x, y - r), (x + r, y), (x + r / 3, y + r), (x, y + r / 4), (x - r, y + r), (x, y - r)]
+        places.append((name, geo.ring_edges(ring)))
+    boundaries = spark.createDataFrame(places, f"name int, edges array<struct<{geo.EDGE_DDL}>>")
+    spots = [(rng.uniform(-0.2, 1.2), rng.uniform(-0.2, 1.2)) for _ in range(1500)] * 2 + [(None, 0.5), (0.5, None)]
+    points = spark.createDataFrame(spots, "longitude double, latitude double")
+    pairs = {r["name"]: r["count"] for r in X.within_boundaries(points, boundaries).groupBy("name").count().collect()}
+    counted = X.count_within(points, boundaries, "name", cell=cell, broadcast_limit=limit)
+    assert {r["name"]: r["points"] for r in counted.collect()} == pairs
+
+
+def test_counting_joins_inner_points_as_one_row(spark, monkeypatch):
+    """A boundary around all points meets their cells, not the points."""
+    met = []
+    join = X.salted_join
+    monkeypatch.setattr(X, "salted_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    square = [(0, geo.ring_edges([(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0), (-1.0, -1.0)]))]
+    boundaries = spark.createDataFrame(square, f"name int, edges array<struct<{geo.EDGE_DDL}>>")
+    points = spark.range(5000).selectExpr("(id % 100) / 100D AS longitude", "(id % 77) / 77D AS latitude")
+    counted = X.count_within(points, boundaries, "name", cell=0.1, broadcast_limit=0)
+    assert [tuple(r) for r in counted.collect()] == [(0, 5000)]
+    assert met[0].count() <= 121
