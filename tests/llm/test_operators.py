@@ -32,6 +32,7 @@ from crashgrid.llm.substring_dedup import repeated_passages  # noqa: E402
 from crashgrid.llm.suffix_dedup import repeated_strings  # noqa: E402
 from crashgrid.llm.token_files import token_files  # noqa: E402
 from crashgrid.llm.url_filters import url_filter  # noqa: E402
+from crashgrid.session import shared_folder  # noqa: E402
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -158,6 +159,19 @@ def test_repeated_rows_are_copies(spark):
     assert quality_rules(frame.withColumn("source", F.lit("s"))).count() == 4
 
 
+def test_repeated_strings_leave_only_the_tables_of_the_result(spark):
+    shared = Path(shared_folder(spark).removeprefix("file://")) / "crashgrid"
+    tables = lambda: set(shared.iterdir()) if shared.exists() else set()
+    before = tables()
+    text = "".join(random.Random(5).choices("abcdefgh", k=900))
+    rows = [(n, f"{n}" * 30 + text[n:]) for n in range(6)]
+    removed = {r["doc_id"]: r["n_removed"] for r in repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(removed[n] >= 890 for n in range(1, 6))
+    left = {path.name.rsplit("-", 1)[0] for path in tables() - before}
+    assert "facts" in left
+    assert not left & {"scan", "spots", "recurring", "mine", "kinds", "open", "around", "crowded", "reached"}
+
+
 def test_quality_measures(odd):
     got = rows(quality_rules(odd), "n_words", "n_repeat_words", "base_failed", "kept")
     for doc, text in pairs(odd):
