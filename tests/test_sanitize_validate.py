@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crashgrid import schemas as S
+from crashgrid.functions import cleaning as C
 from crashgrid.operators import validate as V
 from crashgrid.operators.sanitize import first_row_per_key, last_row_per_key, sanitize
 
@@ -135,3 +136,29 @@ def test_first_fatality_row_wins_without_a_sequence(spark, folder):
         spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{folder}-{turn[0]}")
         raw = spark.read.schema("person_id string, victim string, ingest_seq string").json(f"{folder}-{turn[0]}")
         assert [r["victim"] for r in clean_batch("fatalities", raw).select("victim").collect()] == turn[:1]
+
+
+def _longest_method(rows):
+    """Bytes of the longest method that whole-stage code generation makes of a plan."""
+    package = rows.sparkSession._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$")
+    made = package.__getattr__("MODULE$").codegenStringSeq(rows._jdf.queryExecution().executedPlan())
+    return max((made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())), default=0)
+
+
+@pytest.mark.parametrize("dataset", ["crashes", "people", "vehicles", "fatalities"])
+def test_no_method_of_a_cleaning_plan_is_too_long_to_be_compiled(spark, dataset):
+    fields = S.raw_schema(S.BY_DATASET[dataset]).names
+    values = [F.concat(F.col("id").cast("string"), F.lit(f" {n}")).alias(name) for n, name in enumerate(fields)]
+    assert _longest_method(sanitize(dataset, spark.range(10).select(*values))) < 8000
+
+
+def test_texts_of_a_record_are_cleaned_alike_whatever_stands_beside_them(spark):
+    texts = ["a b", " \tx", "  A   B  ", "", "   ", None, " unk ", "　N/A", "null", "Nul", "plain text", "\x7f", "é  è", "\n"]
+    table = "sex STRING, hospital STRING, age STRING"
+    for beside in ("plain", "\tx", "é", None):
+        raw = spark.createDataFrame([(t, beside, " 1_2.9") for t in texts], table)
+        rows = sanitize("people", raw, carry=["hospital"]).select("sex", "age").collect()
+        alone = raw.select(C.clean_string(F.col("sex"))).collect()
+        assert [r["sex"] for r in rows] == [r[0] for r in alone]
+        assert [r["sex"] for r in rows] == ["a b", "x", "A B", None, None, None, None, None, None, "Nul", "plain text", "\x7f", "é è", None]
+        assert {r["age"] for r in rows} == {12}
