@@ -257,3 +257,25 @@ def test_dated_landings_list_only_the_window(spark, folder, letters):
     plan.collect()
     files = plan._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numFiles").get().value()
     assert files <= 2 < len(spark.read.json(folder).inputFiles())
+
+
+def test_landings_of_an_incremental_run_grow_with_the_shuffle(spark, sf, monkeypatch):
+    from crashgrid.checks import queries as Q
+
+    spread = []
+
+    def land(rows, path):
+        spread.append(rows.rdd.getNumPartitions())
+        raise StopIteration
+
+    monkeypatch.setattr(Q.feeds, "land", land)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        with pytest.raises(StopIteration):
+            Q.sync_incremental(spark, sf)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert spread == [7]
