@@ -276,3 +276,19 @@ def test_counting_joins_inner_points_as_one_row(spark, monkeypatch):
     counted = X.count_within(points, boundaries, "name", cell=0.1, broadcast_limit=0)
     assert [tuple(r) for r in counted.collect()] == [(0, 5000)]
     assert met[0].count() <= 121
+
+
+def test_few_edges_are_tested_like_many(spark):
+    rng = random.Random(7)
+    corner = lambda: (rng.randrange(6) / 2, rng.randrange(6) / 2)
+    rows = []
+    for _ in range(300):
+        edges = [(*corner(), *corner()) for _ in range(rng.randrange(geo.FEW_EDGES + 4))]
+        rows += [(*corner(), edges) for _ in range(4)] + [(rng.random() * 3, rng.random() * 3, edges)]
+    rows += [(1.0, 1.0, None), (None, 1.0, [(0.0, 0.0, 2.0, 2.0)]), (float("nan"), 1.0, [(0.0, 0.0, 2.0, 2.0)])]
+    points = spark.createDataFrame(rows, f"x DOUBLE, y DOUBLE, edges ARRAY<STRUCT<{geo.EDGE_DDL}>>")
+    args = [F.col(c) for c in ("x", "y", "edges")]
+    few, many = geo.in_few_edges(*args).alias("few"), geo.in_edges(*args).alias("many")
+    told = points.select(F.coalesce(few, F.lit(False)).alias("few"), F.coalesce(many, F.lit(False)).alias("many")).collect()
+    assert [r["few"] for r in told] == [r["many"] for r in told]
+    assert {r["few"] for r in told} == {True, False}
