@@ -292,3 +292,12 @@ def test_few_edges_are_tested_like_many(spark):
     told = points.select(F.coalesce(few, F.lit(False)).alias("few"), F.coalesce(many, F.lit(False)).alias("many")).collect()
     assert [r["few"] for r in told] == [r["many"] for r in told]
     assert {r["few"] for r in told} == {True, False}
+
+
+def test_cells_of_a_large_boundary_set_are_never_broadcast(spark, sf):
+    zones = X.with_edges(Q._zone_boundaries(spark, sf))
+    counted = X.count_within(view(spark, sf, "fx_crashes"), zones, "ward", broadcast_limit=0)
+    rows = {r["ward"]: r["points"] for r in counted.collect()}
+    final = counted._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final
+    assert rows == {r["ward"]: r["points"] for r in X.count_within(view(spark, sf, "fx_crashes"), zones, "ward").collect()}
